@@ -77,6 +77,11 @@ def get_file(uri: str) -> bytes:
         return src.read()
 
 
+def drop_file(uri: str) -> None:
+    where, path = filesystem(uri)
+    where.delete_file(path)
+
+
 def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 4096) -> DataFrame:
     """Exclusive running sum of `value` in ascending `order` (a dense row number from 0), in two levels: within blocks
     of rows, and over the blocks' totals, so that the one task that sees all blocks gets rows / block rows."""
@@ -86,10 +91,10 @@ def prefix_sums(df: DataFrame, order: str, value: str, out: str, block: int = 40
     inner = Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     tops = b.groupBy("_b").agg(F.sum(value).alias("_t"))
     outer = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select("_b", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_base"))
+    tops = tops.select("_b", F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_above"))
     return (
         b.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .join(tops, "_b")
-        .withColumn(out, (F.col("_in") + F.col("_base")).cast("long"))
-        .drop("_b", "_in", "_base")
+        .withColumn(out, (F.col("_in") + F.col("_above")).cast("long"))
+        .drop("_b", "_in", "_above")
     )
