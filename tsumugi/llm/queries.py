@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, gif, mixing, ordinal, rules, simhash, spans, suffix, warc, wavelet
 
 
 def queries() -> dict:
-    return {"op1_bpe": bpe.op1_bpe}
+    import corpus_pipeline
+
+    return {
+        "op1_bpe": bpe.op1_bpe,
+        "op2_warc": warc.op2_warc,
+        "op3_gif": gif.op3_gif,
+        "op4_wavelet": wavelet.op4_wavelet,
+        "op5_mix": mixing.op5_mix,
+        "op6_spans": spans.op6_spans,
+        "op7_simhash": simhash.op7_simhash,
+        "op8_rules": rules.op8_rules,
+        "op9_suffix": suffix.op9_suffix,
+        "op10_ordinal": ordinal.op10_ordinal,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_warc": warc.OP2_SQL, "op5_mix": mixing.OP5_SQL}
