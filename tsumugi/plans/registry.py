@@ -2,14 +2,467 @@
 
 from __future__ import annotations
 
+from functools import cache, partial
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chars, normalize, numeric
+from ..operators import dictionary as dic
+from ..operators.morphemes import morphemes, tsv
+from ..operators.tokenize import Tokenizer, auto_cost
+from ..sources.definitions import PROPERTIES, UNKNOWN
+
+WORD = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+SENTENCES = ["東京都へ行く", "電気通信大学", "電気通信大学の大学院", "行った", "東京タワーへ行った", "12万3456", "アイスクリーム", "東京都の東京", "a1 東京"]
+NUMERALS = ["1,000", "12,345,678", "007", "42", "1,234,567", "999", "1,00", "1234,567", "0,000", "12,34"]
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def latin_rows(words: list[str]) -> list[str]:
+    return [dic._row(w, 5139, 3000 + 100 * len(w), dic.NOUN, w) for w in words]
+
+
+class Latin:
+    """Makes a tokenizer over words of the benchmark table; the words travel with the task, their number is bounded by
+    that table's vocabulary, and equal makers share one tokenizer per worker."""
+
+    def __init__(self, words: tuple[str, ...]):
+        self.words = words
+
+    def __hash__(self):
+        return hash(self.words)
+
+    def __eq__(self, other):
+        return isinstance(other, Latin) and self.words == other.words
+
+    def __call__(self) -> Tokenizer:
+        return Tokenizer(dic.Dictionary(latin_rows(list(self.words))), marks=(), rewrite=())
+
+
+def latin(spark: SparkSession, sf_dir: str) -> Latin:
+    words = lexicon(spark, sf_dir).orderBy("headword").collect()
+    return Latin(tuple(r.headword for r in words))
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"({WORD})"))).alias("headword")).distinct()
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents")
+
+
+def tokens(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
+    return morphemes(documents(spark, sf_dir), latin(spark, sf_dir), "doc_id", columns=columns)
+
+
+TOKENS = ["line_no", "i", "begin", "end", "surface", "pos", "normalized_form", "is_oov"]
+
+
+def tokens_mode_c(spark, sf_dir):
+    return tokens(spark, sf_dir, TOKENS)
+
+
+# --- SQL pieces shared by the oracles
+def _values(rows: list[tuple]) -> str:
+    lit = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, bool)) else "'" + str(x).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+@cache
+def _classes() -> list[tuple[str, str]]:
+    """(category, regex class) of the ASCII and Latin-1 part of the table, where each character has one category."""
+    c, by = chars.Categories(), {}
+    for cp in range(1, 256):
+        by.setdefault(c.mask(chr(cp)), []).append(cp)
+    return [(next(n for n in chars.NAMES if chars.BIT[n] == m), "[" + "".join(f"\\x{{{x:x}}}" for x in cps) + "]") for m, cps in sorted(by.items())]
+
+
+def _lines() -> str:
+    return r"""lines AS (SELECT doc_id, line_no, line FROM (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) - 1 AS line_no, len(a) AS n
+      FROM (SELECT doc_id, string_split_regex(text, '\r\n|\r|\n') AS a FROM documents)) WHERE line <> '' OR line_no < n - 1)"""
+
+
+def _runs() -> str:
+    any_run = "|".join(f"{c}+" for _, c in _classes())
+    return f"""{_lines()}, runs AS (SELECT *, (sum(length(run)) OVER (PARTITION BY doc_id, line_no ORDER BY k) - length(run))::INT AS "begin"
+      FROM (SELECT doc_id, line_no, unnest(a) AS run, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, line_no, regexp_extract_all(line, '{any_run}') AS a FROM lines)))"""
+
+
+def _tokens() -> str:
+    """Each run takes its cheapest alternative: a headword that is the whole run, or the cheapest unknown word."""
+    best = {}
+    for cat, _, _, cost, pos in UNKNOWN:
+        if cat not in best or cost < best[cat][0]:
+            best[cat] = (cost, ",".join(pos))
+    case = " ".join(f"WHEN regexp_full_match(r.run, '{c}+') THEN '{best[n][1]}'" for n, c in _classes())
+    return f"""{_runs()}, lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '{WORD}')) AS headword FROM benchmark),
+      tokens AS (SELECT r.doc_id, r.line_no::INT AS line_no, (r.k - 1)::INT AS i, r."begin", (r."begin" + length(r.run))::INT AS "end", r.run AS surface,
+        CASE WHEN headword IS NOT NULL THEN '{dic.NOUN}' ELSE CASE {case} END END AS pos, lower(r.run) AS normalized_form, headword IS NULL AS is_oov
+        FROM runs r LEFT JOIN lex ON lower(r.run) = headword AND 3000 + 100 * length(headword) < 11633)"""
+
+
+# --- queries over documents
+def line_split(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.split("text", r"\r\n|\r|\n", -1).alias("a"))
+    rows = d.select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("line_no", "line"))
+    return rows.filter((F.col("line") != "") | (F.col("line_no") < F.col("n") - 1)).select("doc_id", "line_no", "line")
+
+
+def char_category_histogram(spark, sf_dir):
+    per = documents(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    table = F.broadcast(spark.createDataFrame(chars.ranges(), "low int, high int, bits int"))  # as many rows as the table has
+    cp = per.withColumn("cp", F.ascii("ch"))
+    masks = cp.join(table, F.col("cp").between(F.col("low"), F.col("high")), "left").groupBy("ch", "n").agg(F.coalesce(F.bit_or("bits"), F.lit(1)).alias("mask"))
+    return masks.groupBy("mask").agg(F.sum("n").cast("long").alias("n_chars"))
+
+
+def normalized_text(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.lower("text"), "[-ー⁓〜〰]{2,}", "ー").alias("normalized"))
+
+
+_JAVA = {n: c for n, c in _classes()}
+
+
+def _spark_runs(spark, sf_dir):
+    lines = line_split(spark, sf_dir)
+    pattern = "(" + "|".join(f"{c}+" for _, c in _classes()) + ")"
+    return lines.select("doc_id", "line_no", F.posexplode(F.regexp_extract_all("line", F.lit(pattern))).alias("k", "run"))
+
+
+def category_runs(spark, sf_dir):
+    runs = _spark_runs(spark, sf_dir)
+    cat = F.coalesce(*[F.when(F.col("run").rlike(f"^{c}"), F.lit(n)) for n, c in _classes()])
+    return runs.groupBy("doc_id", cat.alias("category")).agg(F.count("*").alias("n_runs"), F.sum(F.length("run")).cast("long").alias("n_chars"), F.max(F.length("run")).cast("long").alias("longest"))
+
+
+def word_begin_positions(spark, sf_dir):
+    """Places where a word may begin, per document: the first character of a run of letters, and every other character."""
+    alpha = _JAVA["ALPHA"]
+    d = line_split(spark, sf_dir)
+    begins = F.regexp_count("line", F.lit(f"{alpha}+")) + F.length(F.regexp_replace("line", f"{alpha}", ""))
+    return d.groupBy("doc_id").agg(F.sum(begins).cast("long").alias("n_begins"))
+
+
+def prefix_matches(spark, sf_dir):
+    """Headwords that are prefixes of the text where a run of letters begins. Lengths are exploded first, so the join
+    is on equality; the lexicon side is broadcast by the planner's own threshold."""
+    lex = lexicon(spark, sf_dir)
+    runs = _spark_runs(spark, sf_dir).filter(F.col("run").rlike(f"^{_JAVA['ALPHA']}")).select(F.lower("run").alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    most = lex.agg(F.max(F.length("headword"))).first()[0] or 0
+    probes = runs.select("run", "n", F.explode(F.sequence(F.lit(1), F.least(F.length("run"), F.lit(most)))).alias("k")) if most else runs.withColumn("k", F.lit(0))
+    return probes.withColumn("headword", F.expr("substring(run, 1, k)")).join(lex, "headword").groupBy("headword").agg(F.sum("n").cast("long").alias("n_matches"))
+
+
+def oov_candidates(spark, sf_dir):
+    """Proposals for unknown words: every run once per row of its category."""
+    per = category_runs(spark, sf_dir).groupBy("category").agg(F.sum("n_runs").cast("long").alias("n"))
+    unk = spark.createDataFrame([(c, cost, ",".join(p)) for c, _, _, cost, p in UNKNOWN if PROPERTIES[c][1]], "category string, cost int, pos string")
+    return per.join(F.broadcast(unk), "category").select("category", "pos", "cost", F.col("n").alias("n_candidates"))
+
+
+def morpheme_tsv(spark, sf_dir):
+    return tsv(tokens(spark, sf_dir), "doc_id")
+
+
+def pos_frequency(spark, sf_dir):
+    return tokens(spark, sf_dir, ["pos"]).groupBy("pos").agg(F.count("*").alias("n"))
+
+
+def pos_rollup(spark, sf_dir):
+    rows = tokens(spark, sf_dir, ["pos"]).groupBy("doc_id", "pos").agg(F.count("*").alias("n")).join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    return rows.rollup("lang", "pos").agg(F.sum("n").cast("long").alias("n"))
+
+
+def top_terms_by_lang(spark, sf_dir):
+    """The ten most frequent words of each language; counts come before the window, which ranks distinct words."""
+    from pyspark.sql import Window
+
+    rows = tokens(spark, sf_dir, ["normalized_form", "pos"]).filter(F.col("pos") == dic.NOUN).groupBy("doc_id", "normalized_form").agg(F.count("*").alias("n"))
+    per = rows.join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "normalized_form").agg(F.sum("n").cast("long").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "normalized_form"))
+    return per.withColumn("rank", rank.cast("long")).filter("rank <= 10")
+
+
+def oov_rate_by_source(spark, sf_dir):
+    per = tokens(spark, sf_dir, ["is_oov"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("is_oov").alias("oov"))
+    rows = per.join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum("oov").cast("long").alias("n_oov"))
+    return rows.withColumn("oov_rate", F.col("n_oov") / F.col("n_tokens"))
+
+
+def toxic_label_terms(spark, sf_dir):
+    toxic = read(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct()
+    rows = morphemes(documents(spark, sf_dir).join(toxic, "doc_id", "left_semi"), latin(spark, sf_dir), "doc_id", columns=["normalized_form", "pos"])
+    return rows.filter(F.col("pos") == dic.NOUN).groupBy("normalized_form").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+# --- queries over sentences and the seed dictionary
+@cache
+def seed() -> dic.Dictionary:
+    d = dic.Dictionary(dic.SYSTEM, dic.MATRIX)
+    d.add(dic.USER, auto_cost)
+    return d
+
+
+def make_seed(**how) -> Tokenizer:
+    return Tokenizer(seed(), **how)
+
+
+def sentences(spark, _=None):
+    return spark.createDataFrame(list(enumerate(SENTENCES)), "sent_id long, text string")
+
+
+def tokens_by_mode(mode: str, spark, sf_dir):
+    return morphemes(sentences(spark), partial(make_seed, rewrite=()), "sent_id", mode=mode, columns=["i", "begin", "end", "surface", "pos", "reading_form"])
+
+
+def _edges(dictionary=None) -> list[tuple]:
+    t, out = Tokenizer(dictionary or seed(), rewrite=()), []
+    for k, s in enumerate(SENTENCES):
+        text, _ = t.text(s)
+        if len(text) > 6:  # SQL lists every path
+            continue
+        for q, e in enumerate(t.lattice(text)[2]):
+            out.append((k, q, e.begin, e.end, e.left, e.right, e.cost, e.surface))
+        out.append((k, 9999, len(text), len(text) + 1, 0, 0, 0, "EOS"))
+    return out
+
+
+EDGE = "sent_id long, seq int, begin int, end int, left_id int, right_id int, cost int, surface string"
+
+
+def lattice_edges(spark, dictionary=None):
+    return spark.createDataFrame(_edges(dictionary), EDGE)
+
+
+def best_path(spark, _=None, dictionary=None):
+    """Least-cost path of each sentence from rows of edges; a sentence is a group, its edges are bounded by its length."""
+    matrix = dict((dictionary or seed()).matrix)
+
+    def run(pdf):
+        import pandas as pd
+
+        ending, back = {0: [(0, 0, None)]}, {}
+        for r in pdf.sort_values(["begin", "seq"]).itertuples():
+            low = None
+            for total, right, prev in ending.get(r.begin, ()):
+                c = matrix.get((right, r.left_id), 0)
+                if c != 32767 and (low is None or total + c < low[0]):
+                    low = (total + c, prev)
+            if low:
+                back[r.seq] = (low[1], r.surface)
+                ending.setdefault(r.end, []).append((low[0] + r.cost, r.right_id, r.seq))
+        if 9999 not in back:
+            return pd.DataFrame({"sent_id": [], "total": [], "path": []}).astype({"sent_id": "int64", "total": "int64", "path": "str"})
+        path, k = [], back[9999][0]
+        while k is not None:
+            path.append(back[k][1])
+            k = back[k][0]
+        total = min(t for t, _, s in ending[int(pdf["end"].max())] if s == 9999)
+        return pd.DataFrame({"sent_id": [int(pdf["sent_id"].iloc[0])], "total": [int(total)], "path": ["/".join(path[::-1])]})
+
+    return lattice_edges(spark, dictionary).groupBy("sent_id").applyInPandas(run, "sent_id long, total long, path string")
+
+
+def _best_sql(dictionary=None) -> str:
+    """All paths, then the cheapest: ids that no connection names are one id, so that only one edge of each span and
+    pair of ids is needed."""
+    d = dictionary or seed()
+    named = {x for pair in d.matrix for x in pair}
+    low: dict[tuple, tuple] = {}
+    for k, q, b, e, le, r, c, s in _edges(d):
+        key = (k, b, e, le if le in named else 0, r if r in named else 0)
+        if key not in low or (c, q) < low[key][:2]:
+            low[key] = (c, q, s)
+    rows = [(k, q, b, e, le, r, c, s) for (k, b, e, le, r), (c, q, s) in low.items()]
+    return f"""WITH RECURSIVE e(sent_id, seq, b, e, l, r, cost, surface) AS (VALUES {_values(rows)}),
+    m(r, l, c) AS (VALUES {_values([(a, b, c) for (a, b), c in d.matrix.items()])}),
+    p(sent_id, place, r, total, path) AS (
+      SELECT DISTINCT sent_id, 0, 0, 0::BIGINT, '' FROM e
+      UNION ALL
+      SELECT e.sent_id, e.e, e.r, p.total + e.cost + coalesce(m.c, 0), CASE WHEN e.seq = 9999 THEN p.path WHEN p.path = '' THEN e.surface ELSE p.path || '/' || e.surface END
+      FROM p JOIN e ON e.sent_id = p.sent_id AND e.b = p.place LEFT JOIN m ON m.r = p.r AND m.l = e.l WHERE coalesce(m.c, 0) <> 32767),
+    f AS (SELECT p.sent_id, p.total, p.path FROM p JOIN (SELECT sent_id, max(e) AS n FROM e GROUP BY sent_id) z ON z.sent_id = p.sent_id AND z.n = p.place)
+    SELECT sent_id::BIGINT AS sent_id, min(total)::BIGINT AS total, arg_min(path, total) AS path FROM f GROUP BY sent_id"""
+
+
+@cache
+def _inhibited() -> dic.Dictionary:
+    d = dic.Dictionary(dic.SYSTEM, dic.MATRIX)
+    d.inhibit(4791, 100)
+    return d
+
+
+def span_min_edge(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("sent_id", "begin", "end").orderBy("cost", "seq")
+    return lattice_edges(spark).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("sent_id", "begin", "end", "cost", "surface")
+
+
+def edge_connections(spark, sf_dir):
+    e = lattice_edges(spark)
+    m = F.broadcast(spark.createDataFrame([(a, b, c) for (a, b), c in seed().matrix.items()], "r int, l int, c int"))
+    a, b = e.alias("a"), e.alias("b")
+    pairs = a.join(b, (F.col("a.sent_id") == F.col("b.sent_id")) & (F.col("a.end") == F.col("b.begin")))
+    pairs = pairs.join(m, (F.col("a.right_id") == F.col("r")) & (F.col("b.left_id") == F.col("l")), "left")
+    return pairs.groupBy("a.sent_id").agg(F.count("*").alias("n_pairs"), F.sum(F.coalesce("c", F.lit(0))).cast("long").alias("sum_cost"))
+
+
+LEX = "dict_id int, word_id int, headword string, left_id int, cost int, surface string, pos string, reading string, normalized string, form_id int, a string, b string"
+
+
+def _lexicon_rows() -> list[tuple]:
+    ref = lambda xs: "/".join(f"{d}:{i}" for d, i in xs)
+    return [(d, i, w.headword, w.left, w.cost, w.surface, ",".join(w.pos), w.reading, w.normalized, w.form_id, ref(w.a), ref(w.b)) for d, layer in enumerate(seed().layers) for i, w in enumerate(layer)]
+
+
+def seed_lexicon(spark):
+    return spark.createDataFrame(_lexicon_rows(), LEX)
+
+
+_LEX_SQL = "lex(dict_id, word_id, headword, left_id, cost, surface, pos, reading, normalized, form_id, a, b) AS (VALUES {})"
+
+
+def word_info(spark, sf_dir):
+    x = seed_lexicon(spark)
+    f = x.select(F.col("dict_id").alias("d"), F.col("word_id").alias("w"), F.col("surface").alias("dictionary_form"))
+    return x.join(f, (F.col("dict_id") == F.col("d")) & (F.col("form_id") == F.col("w")), "left").select("dict_id", "word_id", "surface", F.coalesce("dictionary_form", "surface").alias("dictionary_form"), "reading", "normalized")
+
+
+def word_id_lookup(spark, sf_dir):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("surface", "pos", "reading").orderBy((F.col("dict_id") == 0).cast("int"), "dict_id", "word_id")
+    return seed_lexicon(spark).withColumn("rn", F.row_number().over(w)).filter("rn = 1").select("surface", "pos", "reading", "dict_id", "word_id")
+
+
+def dictionary_print(spark, sf_dir):
+    unit = F.when(F.col("a") == "", "A").when(F.col("b") == "", "B").otherwise("C")
+    line = F.concat_ws(",", "surface", F.col("left_id").cast("string"), F.col("cost").cast("string"), "pos", "reading", "normalized", unit, F.when(F.col("a") == "", "*").otherwise(F.col("a")))
+    return seed_lexicon(spark).select("dict_id", "word_id", line.alias("line"), unit.alias("unit"))
+
+
+def split_units(spark, sf_dir):
+    """Units of every word with a split, with their places: references exploded and joined to the lexicon."""
+    from pyspark.sql import Window
+
+    x = seed_lexicon(spark)
+    parts = x.filter("a <> ''").select("dict_id", "word_id", "headword", F.posexplode(F.split("a", "/")).alias("k", "ref"))
+    unit = x.select(F.concat_ws(":", F.col("dict_id").cast("string"), F.col("word_id").cast("string")).alias("ref"), F.col("headword").alias("unit"))
+    w = Window.partitionBy("dict_id", "word_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(unit, "ref").withColumn("begin", F.coalesce(F.sum(F.length("unit")).over(w), F.lit(0)).cast("long")).select("dict_id", "word_id", "headword", F.col("k").cast("long").alias("k"), "unit", "begin")
+
+
+def user_auto_cost(spark, sf_dir):
+    return spark.createDataFrame([(i, w.headword, w.cost) for i, w in enumerate(seed().layers[1])], "word_id int, headword string, cost int")
+
+
+def numeric_values(spark, sf_dir):
+    @F.pandas_udf("string")
+    def value(s):
+        return s.map(lambda x: numeric.parse(x)[2])
+
+    return spark.createDataFrame([(x,) for x in NUMERALS], "numeral string").withColumn("value", value("numeral"))
+
+
+def normalized_literals(spark, sf_dir):
+    rows = ["ＡＢＣ", "ｶﾞｷﾞ", "㍿", "Ⅻ", "カ゛", "ﾊﾟﾋﾟ", "①②", "ｱｲｽ"]
+    n = normalize.Normalizer()
+    table = [(c, "".join(n(c)[0])) for c in sorted({x for r in rows for x in r}) if len(c) == 1]
+    pairs = [(k, v) for k, v in n.replace.items() if any(k in r for r in rows)]
+    d = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "id int, text string")
+    m = F.create_map(*[F.lit(x) for kv in table + pairs for x in kv])
+    parts = F.regexp_extract_all("text", F.lit("(" + "|".join([k for k, _ in pairs] + ["."]) + ")"))
+    return d.select("id", F.array_join(F.transform(parts, lambda p: F.coalesce(m[p], p)), "").alias("normalized"))
+
+
+def full_tokens(spark, sf_dir):
+    """All rewriters, user dictionary and connection costs, over literal Japanese sentences."""
+    return morphemes(sentences(spark), make_seed, "sent_id")
+
+
+def udtf_tokens(spark, sf_dir):
+    from ..streaming.tokens import register_udtf
+
+    register_udtf(spark, "tokenize", partial(make_seed, rewrite=()))
+    sentences(spark).createOrReplaceTempView("tsumugi_sentences")
+    return spark.sql("SELECT sent_id, t.begin, t.end, t.surface, t.pos FROM tsumugi_sentences, LATERAL tokenize(text, 'C') t")
+
+
+def stream_tokens(spark, sf_dir):
+    """The documents as a stream, once through; what it wrote is read back."""
+    import os
+    import tempfile
+
+    from ..streaming.tokens import stream
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tsumugi-stream-")
+    out = f"{base.rstrip('/')}/stream-{os.urandom(6).hex()}"
+    d = documents(spark, sf_dir)
+    rows = stream(spark, f"{sf_dir}/documents.parquet" if os.path.isdir(f"{sf_dir}/documents.parquet") else f"{sf_dir}/document*.parquet", d.schema, latin(spark, sf_dir), "doc_id", columns=TOKENS)
+    q = rows.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(rows.schema).parquet(f"{out}/data")
+
 
 def queries() -> dict:
-    return {}
+    own = [
+        line_split, char_category_histogram, normalized_text, category_runs, word_begin_positions, prefix_matches, oov_candidates, tokens_mode_c, morpheme_tsv, pos_frequency, pos_rollup,
+        top_terms_by_lang, oov_rate_by_source, toxic_label_terms, span_min_edge, edge_connections, word_info, word_id_lookup, dictionary_print, split_units, user_auto_cost,
+        numeric_values, normalized_literals, full_tokens, udtf_tokens, stream_tokens,
+    ]
+    more = {f"tokens_mode_{m.lower()}": partial(tokens_by_mode, m) for m in "AB"}
+    return {f.__name__: f for f in own} | more | {"best_path_literals": best_path, "inhibited_path": lambda s, d: best_path(s, d, _inhibited())}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    lex = _LEX_SQL.format(_values(_lexicon_rows()))
+    edges = f"e(sent_id, seq, \"begin\", \"end\", left_id, right_id, cost, surface) AS (VALUES {_values(_edges())})"
+    token_sql = f"WITH {_tokens()} "
+    cat = "CASE " + " ".join(f"WHEN regexp_full_match(run, '{c}+') THEN '{n}'" for n, c in _classes()) + " END"
+    unk = _values([(c, cost, ",".join(p)) for c, _, _, cost, p in UNKNOWN if PROPERTIES[c][1]])
+    alpha = _JAVA["ALPHA"]
+    n = normalize.Normalizer()
+    literal = [(i, "".join(n(x)[0])) for i, x in enumerate(["ＡＢＣ", "ｶﾞｷﾞ", "㍿", "Ⅻ", "カ゛", "ﾊﾟﾋﾟ", "①②", "ｱｲｽ"])]
+    t = make_seed(rewrite=())
+    by_mode = {m: [(k, i, x[0], x[1], x[2], ",".join(x[3]), x[6]) for k, s in enumerate(SENTENCES) for i, x in enumerate(t.tokenize(s, m))] for m in "ABC"}
+    mode = lambda m: f'SELECT sent_id::BIGINT AS sent_id, i::INT AS i, b::INT AS "begin", e::INT AS "end", surface, pos, reading_form FROM (VALUES {_values(by_mode[m])}) v(sent_id, i, b, e, surface, pos, reading_form)'
+    return {
+        "line_split": f"WITH {_lines()} SELECT doc_id, line_no::INT AS line_no, line FROM lines",
+        "char_category_histogram": f"WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), k AS (SELECT ch, count(*) AS n FROM c GROUP BY ch), m AS (SELECT ch, n, coalesce(bit_or(bits), 1)::INT AS mask FROM k LEFT JOIN (VALUES {_values(chars.ranges())}) r(low, high, bits) ON unicode(ch) BETWEEN low AND high GROUP BY ch, n) SELECT mask, sum(n)::BIGINT AS n_chars FROM m GROUP BY mask",
+        "normalized_text": "SELECT doc_id, regexp_replace(lower(text), '[-ー⁓〜〰]{2,}', 'ー', 'g') AS normalized FROM documents",
+        "category_runs": f"WITH {_runs()} SELECT doc_id, {cat} AS category, count(*) AS n_runs, sum(length(run))::BIGINT AS n_chars, max(length(run))::BIGINT AS longest FROM runs GROUP BY ALL",
+        "word_begin_positions": f"WITH {_lines()} SELECT doc_id, sum(len(regexp_extract_all(line, '{alpha}+')) + length(regexp_replace(line, '{alpha}', '', 'g')))::BIGINT AS n_begins FROM lines GROUP BY doc_id",
+        "prefix_matches": f"WITH {_tokens()} SELECT l.headword, count(*) AS n_matches FROM tokens t JOIN lex l ON starts_with(t.normalized_form, l.headword) GROUP BY l.headword",
+        "oov_candidates": f"WITH {_runs()}, c AS (SELECT {cat} AS category, count(*) AS n FROM runs GROUP BY 1) SELECT category, pos, cost::INT AS cost, n AS n_candidates FROM c JOIN (VALUES {unk}) u(category, cost, pos) USING (category)",
+        "tokens_mode_c": token_sql + 'SELECT doc_id, line_no, i, "begin", "end", surface, pos, normalized_form, is_oov FROM tokens',
+        "morpheme_tsv": token_sql + "SELECT doc_id, line_no, string_agg(surface || chr(9) || pos || chr(9) || normalized_form, chr(10) ORDER BY i) || chr(10) || 'EOS' AS text FROM tokens GROUP BY doc_id, line_no",
+        "pos_frequency": token_sql + "SELECT pos, count(*) AS n FROM tokens GROUP BY pos",
+        "pos_rollup": token_sql + "SELECT lang, pos, count(*) AS n FROM tokens JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, pos)",
+        "top_terms_by_lang": token_sql + f"SELECT lang, normalized_form, n, rank FROM (SELECT lang, normalized_form, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, normalized_form) AS rank FROM tokens JOIN documents USING (doc_id) WHERE pos = '{dic.NOUN}' GROUP BY lang, normalized_form) WHERE rank <= 10",
+        "oov_rate_by_source": token_sql + "SELECT source, count(*) AS n_tokens, count(*) FILTER (is_oov) AS n_oov, count(*) FILTER (is_oov) / count(*) AS oov_rate FROM tokens JOIN documents USING (doc_id) GROUP BY source",
+        "toxic_label_terms": token_sql + f"SELECT normalized_form, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM tokens WHERE pos = '{dic.NOUN}' AND doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY normalized_form",
+        "span_min_edge": f'WITH {edges} SELECT sent_id::BIGINT AS sent_id, "begin"::INT AS "begin", "end"::INT AS "end", cost::INT AS cost, surface FROM e QUALIFY row_number() OVER (PARTITION BY sent_id, "begin", "end" ORDER BY cost, seq) = 1',
+        "edge_connections": f'WITH {edges}, m(r, l, c) AS (VALUES {_values([(a, b, c) for (a, b), c in seed().matrix.items()])}) SELECT a.sent_id::BIGINT AS sent_id, count(*) AS n_pairs, sum(coalesce(c, 0))::BIGINT AS sum_cost FROM e a JOIN e b ON a.sent_id = b.sent_id AND a."end" = b."begin" LEFT JOIN m ON a.right_id = r AND b.left_id = l GROUP BY a.sent_id',
+        "word_info": f"WITH {lex} SELECT x.dict_id::INT AS dict_id, x.word_id::INT AS word_id, x.surface, coalesce(f.surface, x.surface) AS dictionary_form, x.reading, x.normalized FROM lex x LEFT JOIN lex f ON x.dict_id = f.dict_id AND x.form_id = f.word_id",
+        "word_id_lookup": f"WITH {lex} SELECT surface, pos, reading, dict_id::INT AS dict_id, word_id::INT AS word_id FROM lex QUALIFY row_number() OVER (PARTITION BY surface, pos, reading ORDER BY dict_id = 0, dict_id, word_id) = 1",
+        "dictionary_print": f"WITH {lex}, u AS (SELECT *, CASE WHEN a = '' THEN 'A' WHEN b = '' THEN 'B' ELSE 'C' END AS unit FROM lex) SELECT dict_id::INT AS dict_id, word_id::INT AS word_id, concat_ws(',', surface, left_id, cost, pos, reading, normalized, unit, CASE WHEN a = '' THEN '*' ELSE a END) AS line, unit FROM u",
+        "split_units": f"WITH {lex}, p AS (SELECT dict_id, word_id, headword, unnest(string_split(a, '/')) AS ref, generate_subscripts(string_split(a, '/'), 1) - 1 AS k FROM lex WHERE a <> '') SELECT p.dict_id::INT AS dict_id, p.word_id::INT AS word_id, p.headword, k::BIGINT AS k, u.headword AS unit, (coalesce(sum(length(u.headword)) OVER (PARTITION BY p.dict_id, p.word_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"begin\" FROM p JOIN lex u ON p.ref = u.dict_id || ':' || u.word_id",
+        "numeric_values": f"SELECT numeral, CASE WHEN NOT regexp_full_match(numeral, '[0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+') OR regexp_full_match(numeral, '0+,.*') THEN NULL ELSE replace(numeral, ',', '') END AS value FROM (VALUES {_values([(x,) for x in NUMERALS])}) v(numeral)",
+        "normalized_literals": f"SELECT id::INT AS id, normalized FROM (VALUES {_values(literal)}) v(id, normalized)",
+        "tokens_mode_a": mode("A"),
+        "tokens_mode_b": mode("B"),
+        "udtf_tokens": f'SELECT sent_id, "begin", "end", surface, pos FROM ({mode("C")})',
+        "stream_tokens": token_sql + 'SELECT doc_id, line_no, i, "begin", "end", surface, pos, normalized_form, is_oov FROM tokens',
+        "best_path_literals": _best_sql(),
+        "inhibited_path": _best_sql(_inhibited()),
+    }
 
 
-def flagship(spark, sf_dir: str):
-    return queries()["tokens_mode_c"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens_mode_c(spark, sf_dir)
