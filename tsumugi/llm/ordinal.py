@@ -29,7 +29,7 @@ from .common import small_batches, table, written
 DIM = 1 << 18
 SHAPES = 64  # the last cells are for densities
 SCALE = 20.0
-MAX_TRAIN = 12_000
+MAX_TRAIN = 10_000
 MIN_DOCS = 12
 TAIL = 0.5
 GRADES = 3
@@ -75,15 +75,13 @@ def features(text: str | None) -> tuple[list[int], list[float]]:
 
 def fit(rows: list[tuple[list[int], list[float], int]], rounds: int = 120, l2: float = 1e-3, min_docs: int = MIN_DOCS, grades: int = GRADES):
     """(weights by cell, thresholds) by full-batch Adam on the cumulative-link likelihood; deterministic for given rows."""
-    df = np.bincount(np.concatenate([np.array(i, np.int64) for i, _, _ in rows]), minlength=DIM)
-    use = (df >= min_docs) | (np.arange(DIM) >= DIM - SHAPES)
-    col_of = np.cumsum(use) - 1
-    idx = [np.array(i, np.int64) for i, _, _ in rows]
-    val = [np.array(v) for _, v, _ in rows]
-    keep = [use[i] for i in idx]
-    cols = np.concatenate([col_of[i[k]] for i, k in zip(idx, keep)])
-    vals = np.concatenate([v[k] for v, k in zip(val, keep)])
-    row = np.repeat(np.arange(len(rows)), [int(k.sum()) for k in keep])
+    flat = np.concatenate([np.asarray(i, np.int32) for i, _, _ in rows])
+    use = (np.bincount(flat, minlength=DIM) >= min_docs) | (np.arange(DIM) >= DIM - SHAPES)
+    keep = use[flat]
+    cols = (np.cumsum(use) - 1).astype(np.int32)[flat[keep]]
+    vals = np.concatenate([np.asarray(v, np.float32) for _, v, _ in rows])[keep]
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _, _ in rows])[keep]
+    del flat, keep
     y = np.array([g for _, _, g in rows])
     d, n, m = int(use.sum()), len(rows), grades - 1
     # thresholds t_1 and the logs of the steps to the next, so that they stay ordered
@@ -123,12 +121,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN) -> list[tu
     def run(batches):
         for b in batches:
             got = [features(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32())), b.column(2)], names=["doc_id", "idx", "val", "grade"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(i, "<i4").tobytes() for i, _ in got], pa.binary()), pa.array([np.array(v, "<f4").tobytes() for _, v in got], pa.binary()), b.column(2)], names=["doc_id", "idx", "val", "grade"])
 
     some = docs.select(F.col("doc_id").cast("long"), "text").join(rows, "doc_id").select("doc_id", "text", "grade")
-    got = some.mapInArrow(run, "doc_id long, idx array<int>, val array<float>, grade int").toPandas()
+    got = some.mapInArrow(run, "doc_id long, idx binary, val binary, grade int").toPandas()
     got = got.sort_values("doc_id", kind="stable").drop_duplicates("doc_id")  # each label once: the bound holds
-    return list(zip(got["idx"].tolist(), got["val"].tolist(), got["grade"].tolist()))
+    return [(np.frombuffer(i, "<i4"), np.frombuffer(v, "<f4"), g) for i, v, g in zip(got["idx"], got["val"], got["grade"].tolist())]
 
 
 class Scorer:
