@@ -20,8 +20,9 @@ def plain(t):
 CASES = [[], [1], [1, 1], [2, 1], [1, 2], [1] * 50, list(b"mississippi"), list(b"banana" * 9), list(b"abcabcabd" * 20), list(range(1, 60)), list(range(60, 0, -1))]
 
 
-@pytest.mark.parametrize("memory", [10**6, 8])
-def test_equals_plain_sorting(memory, tmp_path):
+@pytest.mark.parametrize(("memory", "base"), [(10**6, 0), (8, 0), (10**6, 1 << 19), (8, 20)])
+def test_equals_plain_sorting(memory, base, tmp_path, monkeypatch):
+    monkeypatch.setattr(esais, "BASE", base)
     rnd = random.Random(memory)
     more = [[rnd.randint(1, k) for _ in range(rnd.randint(2, 300))] for k in (1, 2, 3, 5, 40, 1000) for _ in range(25)]
     for t in CASES + more:

@@ -10,6 +10,8 @@ Common prefixes travel with the tuples. Two suffixes pushed one after the other
 same first symbol share one symbol more than their sources, which is a range minimum over the sources' run; from sources
 with different first symbols they share one symbol; between runs of L and S, and between rounds within a symbol, the
 shorter run of that symbol decides. Each symbol's run is handled in vectors.
+
+The recursion ends when a string of names has at most BASE symbols: that fits memory and is sorted there by doubling.
 """
 
 from __future__ import annotations
@@ -21,6 +23,29 @@ import numpy as np
 from .common import drop_file, get_file, put_file
 
 
+BASE = 1 << 19
+
+
+def doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array and common prefixes of a string that fits memory, by ranks of prefixes of 1, 2, 4, ... symbols."""
+    n, k = len(t), 1
+    ranks = [np.unique(t, return_inverse=True)[1].astype(np.int64)]
+    while ranks[-1].max() < n - 1:
+        r = ranks[-1]
+        ahead = np.zeros(n, np.int64)
+        ahead[: n - k] = r[k:] + 1
+        ranks.append(np.unique(r * (n + 1) + ahead, return_inverse=True)[1].astype(np.int64))
+        k *= 2
+    sa = np.argsort(ranks[-1], kind="stable")
+    lcp = np.zeros(n, np.int64)
+    i, j = sa[:-1], sa[1:]
+    for e in range(len(ranks) - 1, -1, -1):
+        a, b = i + lcp[1:], j + lcp[1:]
+        same = (a < n) & (b < n) & (ranks[e][np.minimum(a, n - 1)] == ranks[e][np.minimum(b, n - 1)])
+        lcp[1:] += same << np.int64(e)
+    return sa, lcp
+
+
 class Store:
     """Arrays by key, in memory up to a number of items, beyond it in files below a URI (none: memory only)."""
 
@@ -193,6 +218,8 @@ def _stars(t: np.ndarray, ext: np.ndarray, star: np.ndarray, uri: str | None, me
     if len(names) == len(r):
         order = np.argsort(r, kind="stable")
         same = np.zeros(len(r), np.int64)
+    elif len(r) <= BASE:
+        order, same = doubled(r)
     else:
         del subs
         order, same = suffix_array(r, uri, memory_items, depth + 1)

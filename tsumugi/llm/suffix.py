@@ -29,7 +29,7 @@ from .esais import suffix_array
 LENGTH = 400
 GRAM = 16
 BLOCK_STARTS = 1 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
