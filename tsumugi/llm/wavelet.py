@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -143,6 +144,8 @@ class WordIds:
     space: the library encodes each distinct lower-cased run of non-space once and a cache repeats it. Texts with
     characters outside Latin-1, or with added tokens or rare control characters, go to the library whole."""
 
+    #: the pieces of a lower-cased Latin-1 word, as the vocabulary's pattern cuts them
+    PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     ODD = re.compile("[\x1c-\x1f\x85]")
 
     def __init__(self, path: str, cache: int = 300_000):
@@ -153,6 +156,8 @@ class WordIds:
         self.lib.no_truncation()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.most = cache
         self.bits = max(1, (self.lib.get_vocab_size(True) - 1).bit_length())
 
@@ -165,16 +170,29 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        if not self.plain(text):
-            return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words, cache = text.lower().split(), self.cache
-        if new := list(set(words).difference(cache)):
-            if len(cache) > self.most:
-                cache.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.lib.encode_batch(new, add_special_tokens=False)):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Of each text; what the caches lack goes to the library in one batch, a piece at a time."""
+        words = [t.lower().split() if self.plain(t) else None for t in texts]
+        if len(self.cache) > self.most:  # two generations: what is in use survives
+            self.cache, self.older = {}, self.cache
+        cache, older = self.cache, self.older
+        missing = set().union(*[w for w in words if w]).difference(cache)
+        for w in missing.intersection(older):
+            cache[w] = older[w]
+        new = {w: self.PIECE.findall(w) for w in missing.difference(older)}
+        if len(self.pieces) > self.most:
+            self.pieces.clear()
+        lack = list({p for ps in new.values() for p in ps}.difference(self.pieces))
+        if lack:
+            for p, e in zip(lack, self.lib.encode_batch(lack, add_special_tokens=False)):
+                self.pieces[p] = array("I", e.ids).tobytes()
+        get = self.pieces.__getitem__
+        for w, ps in new.items():
+            cache[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
+        get = cache.__getitem__
+        return [b"".join(map(get, w)) if w is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, words)]
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -212,8 +230,8 @@ def write_shards(df: DataFrame, path: str, end_id: int, uri: str, shard_tokens:
 
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                x = enc.encode(t or "") + tail
+            ids, said = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for d, x in ((d, x + tail) for lo in range(0, len(ids), 128) for d, x in zip(ids[lo : lo + 128], enc.encode_all([t or "" for t in said[lo : lo + 128]]))):
                 if docs and held + len(x) // 4 > shard_tokens:
                     rows.append(flush())
                 docs.append(d)
