@@ -16,6 +16,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -62,15 +63,17 @@ class ByteBPE:
         for rank, m in enumerate(model["merges"]):
             a, b = m if isinstance(m, list) else m.split(" ")
             self.merges[to_id[a], to_id[b]] = (rank, to_id[a + b])
-        self.longest: dict[bytes, int] = {}
+        self.longest: dict[bytes, int] = {}  # of the tokens that begin with these four bytes
         for w in self.id_of:
-            if len(w) > 1:
-                self.longest[w[:2]] = max(self.longest.get(w[:2], 0), len(w))
+            if len(w) > 3:
+                self.longest[w[:4]] = max(self.longest.get(w[:4], 0), len(w))
+        self.name = list(map(str, range(size)))
         self.piece = regex.compile(PIECE)
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.keys, self.fits = np.empty(0, np.int64), np.empty(0, bool)
         self.alone: dict[int, bool] = {}
         self.cache: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
         self.cache_words = cache_words
         self.merged_words = 0
 
@@ -78,7 +81,7 @@ class ByteBPE:
     def greedy(self, w: bytes) -> list[int]:
         ids, at, n, id_of, longest = [], 0, len(w), self.id_of, self.longest
         while at < n:
-            for k in range(min(longest.get(w[at : at + 2], 1), n - at), 0, -1):
+            for k in range(min(longest.get(w[at : at + 4], 3), n - at), 0, -1):
                 t = id_of.get(w[at : at + k])
                 if t is not None:
                     break
@@ -91,16 +94,19 @@ class ByteBPE:
         ids = [self.id_of[w[i : i + 1]] for i in range(len(w))]
         if len(ids) > 48:
             return self._merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merges.get((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
+        get, none = self.merges.get, (1 << 60, -1)
+        found = [get(p, none) for p in zip(ids, ids[1:])]
+        while found:
+            best = min(found)
+            if best is none:
                 break
+            at = found.index(best)
             ids[at : at + 2] = [best[1]]
+            del found[at]
+            if at < len(found):
+                found[at] = get((ids[at], ids[at + 1]), none)
+            if at:
+                found[at - 1] = get((ids[at - 1], ids[at]), none)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -172,13 +178,13 @@ class ByteBPE:
 
     def learn(self, chunks: set[str]) -> None:
         """Put the encodings of these chunks into the cache; a chunk that begins with NUL may be an added token."""
-        new = sorted(chunks)
+        new = list(chunks)
         pieces = [["\0"] if c[:1] == "\0" and c[1:] in self.added else self.piece.findall(c) for c in new]
-        words = sorted({p for ps in pieces for p in ps if p != "\0"})
+        words, name = list({p for ps in pieces for p in ps if p != "\0"}), self.name
         ids = dict(zip(words, self.encode_words([w.encode() for w in words])))
         for c, ps in zip(new, pieces):
             t = [self.added[c[1:]]] if ps == ["\0"] and c != "\0" else [t for p in ps for t in (ids[p] if p in ids else self.encode_words([p.encode()])[0])]
-            self.cache[c] = (np.array(t, np.uint32).tobytes(), ",".join(map(str, t)))
+            self.cache[c] = (array("I", t).tobytes(), ",".join([name[i] for i in t]))
 
     def encode_batch(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids, decimal ids joined by commas) of each text; texts are handled in blocks of bounded size."""
@@ -192,10 +198,12 @@ class ByteBPE:
         yield from self._block(block)
 
     def _block(self, block: list[list[str]]) -> Iterator[tuple[np.ndarray, str]]:
-        if len(self.cache) > self.cache_words:
-            self.cache.clear()
-        seen = set().union(*block)
-        self.learn(seen - self.cache.keys())
+        if len(self.cache) > self.cache_words:  # two generations: what is in use survives
+            self.cache, self.older = {}, self.cache
+        missing = set().union(*block).difference(self.cache)
+        for c in missing.intersection(self.older):
+            self.cache[c] = self.older[c]
+        self.learn(missing.difference(self.older))
         get = self.cache.__getitem__
         for cs in block:
             both = [get(c) for c in cs]
