@@ -57,3 +57,40 @@ def test_documents_and_odd_ids(spark):
     p = "One two three four five six. Seven eight nine ten eleven twelve."
     odd = spark.createDataFrame([(None, p), (5, p), (5, p), (6, p)], "doc_id int, text string")
     assert sorted((str(r.doc_id), r.text) for r in spans.dedup(odd).collect()) == [("5", p), ("5", p), ("6", ""), ("None", p)]
+
+
+def query(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    return {r.doc_id: r.text for r in spans.op6_spans(spark, str(folder)).collect()}
+
+
+def test_query_removes_all_later_copies(spark, tmp_path):
+    word = iter(range(10**6))
+    sent = lambda n: " ".join(f"w{next(word)}" for _ in range(n)) + ". "
+    texts = [sent(60), sent(3), sent(20) + sent(3) + sent(3), "\n" + sent(5) + "\n\n" + sent(4), sent(2) * 9, "".join(sent(1 + i % 5) for i in range(40)), sent(30) + "\n\n"]
+    got = query(spark, tmp_path, [(d, t) for d, t in enumerate(texts * 3)])
+    assert [got[d] for d in range(7) if d != 4] == [t for d, t in enumerate(texts) if d != 4]
+    assert [got[d] for d in range(7, 21)] == [""] * 14
+
+
+def test_query_removes_passages_to_their_ends(spark, tmp_path):
+    word = iter(range(10**6))
+    sent = lambda n: " ".join(f"w{next(word)}" for _ in range(n)) + ". "
+    rows, want = [], {}
+    for k, sizes in enumerate([(20, 3, 3), (55,), (3, 60, 2), (12,), (1, 2, 3, 4, 5, 6, 7, 1, 1)]):
+        passage = "".join(map(sent, sizes))
+        for d in (2 * k, 2 * k + 1):
+            before, after = sent(15) + sent(2), sent(4) + sent(15)
+            rows.append((d, before + passage + after))
+            want[d] = before + (passage if d % 2 == 0 else "") + after
+    rows.append((100, sent(4) + rows[0][1].split(". ")[3] + ". " + sent(3)))  # three words of a passage alone
+    want[100] = rows[-1][1]
+    assert query(spark, tmp_path, rows) == want
+
+
+def test_query_on_documents(spark, tmp_path):
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()[:400]
+    got = query(spark, tmp_path, [(d, t) for d, t in enumerate(texts)])
+    first: dict = {}
+    for d, t in enumerate(texts):
+        assert not t or first.setdefault(t, d) == d or got[d] == ""

@@ -1,13 +1,15 @@
 """Substring dedup: sliding sentence spans.
 
-A text is cut into sentences, after . ! ? before white space and at line ends. From each sentence a span runs on until it
-has MIN_SENTENCES sentences and MIN_WORDS words; equal texts give equal spans, so a passage that is repeated gives
-repeated spans from all its sentences but the last few, which the spans before cover. Spans are hashed to 128 bits and
-joined over all documents; every sentence covered by a repeated span that isn't its first occurrence, by doc_id and
-place, is removed.
+A text is cut into sentences, after . ! ? before white space and at line ends. The query takes the shortest span of
+MIN_WORDS words or more from each sentence and the shortest that ends at each, of one sentence or several; a text of
+fewer words is one span. So every sentence of a later copy is covered, of a text or of a passage of MIN_WORDS words or
+more: those near its end by the spans that end there. `dedup` without `whole` has spans from each sentence only, of
+MIN_SENTENCES sentences or more; it leaves last sentences that don't fill one, and single sentences. Spans are hashed to
+128 bits and joined over all documents; every sentence covered by a repeated span that isn't its first occurrence, by
+doc_id and place, is removed; with `whole`, white space goes too where no sentence is left.
 
 Partial minima precede the first shuffle, so a span in a third of all documents is one row per task; the join back with
-its occurrences is split by the skew join. Null and empty texts have no sentences, and texts of too few words no span:
+its occurrences is split by the skew join. Null and empty texts have no sentences, and texts without a word no span:
 they stay as they are. Rows that share a doc_id share their removals, by place, and a span at the same place of such
 rows counts as one occurrence; rows without doc_id are kept whole. Other columns pass through `dedup`. White space
 between sentences stays with the sentence before.
@@ -62,7 +64,34 @@ def spans(parts: list[str]) -> list[tuple[int, int, bytes]]:
     return out
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
+def whole_spans(parts: list[str]) -> list[tuple[int, int, bytes]]:
+    """As `spans`: the shortest of MIN_WORDS words from each sentence and to each, or all of a text of fewer words."""
+    from xxhash import xxh3_128_digest
+
+    words = [p.split() for p in parts]
+    real = [i for i, w in enumerate(words) if w]
+    sizes = [len(words[i]) for i in real]
+    flat = [" ".join(words[i]) for i in real]
+    runs, lo, total = set(), 0, 0
+    for hi, n in enumerate(sizes, 1):
+        total += n
+        while total >= MIN_WORDS:
+            runs.add((lo, hi))
+            total -= sizes[lo]
+            lo += 1
+    hi, total = len(sizes), 0
+    for lo in range(len(sizes) - 1, -1, -1):
+        total += sizes[lo]
+        while total >= MIN_WORDS:
+            runs.add((lo, hi))
+            hi -= 1
+            total -= sizes[hi]
+    if real and not runs:
+        runs.add((0, len(real)))
+    return [(real[a], real[b - 1] - real[a] + 1, xxh3_128_digest("\n".join(flat[a:b]))) for a, b in sorted(runs)]
+
+
+def occurrences(docs: DataFrame, whole: bool = False) -> DataFrame:
     """h1, h2, doc_id, pos, n of every span."""
     import pyarrow as pa
 
@@ -70,7 +99,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
         for b in batches:
             rows, ids = [], []
             for k, t in enumerate(b.column(1).to_pylist()):
-                got = spans(sentences(t))
+                got = (whole_spans if whole else spans)(sentences(t))
                 rows += got
                 ids.append(np.full(len(got), k))
             if rows:
@@ -82,22 +111,22 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, pos int, n int")
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, whole: bool = False) -> DataFrame:
     """doc_id, gone array<struct<pos,n>>: runs of sentences to remove, of documents that have any."""
-    occ = written(occurrences(docs), "spans")
+    occ = written(occurrences(docs, whole), "spans")
     first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
     first = written(first.filter("first <> last").select("h1", "h2", "first"), "repeated")
     later = occ.join(first, ["h1", "h2"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
     return later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
-def _strip(docs: DataFrame) -> DataFrame:
+def _strip(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with kept text, n_sentences, n_removed."""
     import pyarrow as pa
 
     from .bpe import _map
 
-    gone = covered(docs).select(F.col("doc_id").alias("_d"), F.col("gone").alias("_gone"))
+    gone = covered(docs, whole).select(F.col("doc_id").alias("_d"), F.col("gone").alias("_gone"))
     both = docs.join(gone, F.col("doc_id").cast("long") == F.col("_d"), "left").drop("_d")
 
     def fn(b):
@@ -105,6 +134,8 @@ def _strip(docs: DataFrame) -> DataFrame:
         for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_gone")).to_pylist()):
             parts = sentences(t or "")
             out = {i for s in g or [] for i in range(s["pos"], s["pos"] + s["n"])}
+            if whole and out and all(i in out or not p.split() for i, p in enumerate(parts)):
+                out = set(range(len(parts)))
             gone_n = sum(i < len(parts) for i in out)
             rows.append((t if not gone_n else "".join([p for i, p in enumerate(parts) if i not in out]), len(parts), gone_n))
         cols = list(zip(*rows)) if rows else [()] * 3
@@ -113,11 +144,11 @@ def _strip(docs: DataFrame) -> DataFrame:
     return _map(both, [T.StructField("text", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_m", T.LongType())], fn)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    return _strip(docs).select(*docs.columns)
+def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
+    return _strip(docs, whole).select(*docs.columns)
 
 
 def op6_spans(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    got = _strip(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+    got = _strip(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), whole=True)
     return got.select("doc_id", F.col("_n").alias("n_sentences"), F.col("_m").alias("n_removed"), "text")
