@@ -77,3 +77,11 @@ def test_edges_and_dedup(spark):
     kept = simhash.dedup(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [2, 5, 9, 11]
     assert simhash.near(df.limit(0)).count() == 0
+
+
+def test_dedup_keeps_null_ids_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (3, b), (5, c), (5, d), (5, d), (8, d), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, ((r.doc_id, r.text) for r in simhash.dedup(df).collect())))
+    assert got == sorted(map(str, [(None, a), (3, b), (5, c), (5, d), (None, None)]))

@@ -11,8 +11,10 @@ each list's links, never all pairs; components follow from the forests.
 
 A list with more than HOT fingerprints is cut into blocks, and each pair of blocks is a task of its own, so a crowd of
 near copies is spread without loss. Null and empty texts have no words and fingerprint zero, linked like any other.
-Repeated rows are documents of their own in n_near and share component_id. Null doc_ids are left out of the minimum.
-An empty table gives no rows. Columns other than doc_id and text aren't read by `near`; `dedup` keeps all.
+Repeated rows are documents of their own in n_near and share component_id. Null doc_ids are left out of the minimum,
+and component_id is null where a component has no other. `dedup` keeps one row of each component, also of those; rows
+that share a doc_id but aren't linked stay. An empty table gives no rows. Columns other than doc_id and text aren't read
+by `near`; `dedup` keeps all.
 """
 
 from __future__ import annotations
@@ -70,16 +72,17 @@ def fingerprint(text: str | None) -> int:
     return int(np.packbits(2 * counts > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long), and if `hashed` th, another hash of the text."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             fps = np.array([fingerprint(t) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    more = [F.xxhash64("text").alias("th")] if hashed else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *more).mapInArrow(run, "doc_id long, fp long" + ", th long" * hashed)
 
 
 def postings(classes: DataFrame, hot: int = HOT) -> DataFrame:
@@ -183,9 +186,8 @@ def links(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     return rows.repartition(spread, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(run, "fp long, other long, near long")
 
 
-def near(docs: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
-    """doc_id, fp, n_near (other documents linked directly), component_id (smallest doc_id reachable), all rows."""
-    fps = written(fingerprints(docs), "fingerprints")
+def linked(fps: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """fp, n_near, component_id, root (which names the component) of each fingerprint."""
     classes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
     found = written(links(postings(classes, hot), max_bits), "links")
     roots = components(found.filter("other IS NOT NULL").select(F.col("fp").alias("a"), F.col("other").alias("b")))
@@ -193,14 +195,23 @@ def near(docs: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
     per = classes.join(roots, classes.fp == roots.node, "left").join(counted, "fp", "left").select("fp", "n", "rep", "near", F.coalesce("root", "fp").alias("root"))
     per = written(per, "members")
     low = per.groupBy("root").agg(F.min("rep").alias("component_id"))
-    info = written(per.join(low, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"), "component_id"), "classes")
-    return fps.join(info, "fp").select("doc_id", "fp", "n_near", "component_id")
+    return written(per.join(low, "root").select("fp", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).cast("long").alias("n_near"), "component_id", "root"), "classes")
+
+
+def near(docs: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame:
+    """doc_id, fp, n_near (other documents linked directly), component_id (smallest doc_id reachable), all rows."""
+    fps = written(fingerprints(docs), "fingerprints")
+    return fps.join(linked(fps, max_bits, hot), "fp").select("doc_id", "fp", "n_near", "component_id")
 
 
 def dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The documents of which no smaller doc_id is in the same component; rows that repeat a doc_id: one of them."""
-    keep = near(docs, max_bits).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: the least by doc_id, nulls last, then by hash of the text; of rows with both equal, one."""
+    fps = written(fingerprints(docs, hashed=True), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
+    keep = fps.join(linked(fps, max_bits), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_k"))
+    rows = docs.withColumn("_t", F.xxhash64("text"))
+    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
