@@ -69,3 +69,25 @@ def test_dedup_and_repeated_rows(spark):
     assert got == [("1", "", 5), ("1", "", 5), ("4", None, 7), ("5", "left whole", 8), ("None", "q", 6)]
     d = sorted((str(r.doc_id), r.n_removed) for r in suffix.digests(df, 40).collect())
     assert d == [("1", 102), ("1", 102), ("4", 0), ("5", 0), ("None", 100)]
+
+
+def test_large_anchors_are_divided(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda k: "".join(rnd.choice("abcdefgh") for _ in range(k))
+    texts = []
+    for k in (20, 30, 39, 40, 41, 60, 90):  # lines in many texts, each time in other surroundings
+        line = word(k)
+        texts += [word(rnd.randint(0, 60)) + line + word(rnd.randint(0, 60)) for _ in range(60)]
+        texts += [t[rnd.randint(0, 5) :] + "x" for t in texts[-8:]]
+    texts += ["ab" * 90, "a" * 200, "xy" + "ab" * 50, *texts[:4], *made(rnd, 40, "ab", 40)]
+    most = []
+    keep = suffix.resolved
+
+    def seen(rows, *how):
+        most.append(rows.selectExpr("anchor", "length(snippet) AS k").groupBy("anchor").sum("k").agg({"sum(k)": "max"}).first()[0])
+        return keep(rows, *how)
+
+    monkeypatch.setattr(suffix, "resolved", seen)
+    monkeypatch.setattr(suffix, "ANCHOR_BYTES", 1000, raising=False)
+    compare(spark, texts, 40)
+    assert most[0] <= 1000

@@ -6,8 +6,9 @@ anchors that occur once in all texts can't repeat; equal snippets are grouped wi
 a passage in a third of all documents is one row; where an anchor has several different snippets, they are aligned at it
 and cut down to what the closest others share with them. What is still open goes, by anchor, into shards whose suffix
 array and common prefixes are made by external induced sorting (`esais`): a window repeats exactly if its suffix shares
-LENGTH bytes or more with a neighbour. Shards hold whole anchors and SHARD_BYTES or so; one anchor alone may exceed it,
-and then the sorter's queues go to the shared folder.
+LENGTH bytes or more with a neighbour. Shards hold whole anchors and SHARD_BYTES or so. An anchor with more than
+ANCHOR_BYTES of different snippets, as a line has that stands in many texts, is split before (`divided`): by where the
+anchor stands in a window, and by the bytes that all windows with it there share.
 
 Matches stay within documents and are judged on the input. Null and empty texts have no bytes. Documents shorter than
 LENGTH are left whole. Rows that repeat a doc_id with the same text are separate documents that cover each other. Null
@@ -30,6 +31,7 @@ LENGTH = 400
 GRAM = 16
 BLOCK_STARTS = 1 << 20
 SHARD_BYTES = 8 << 20
+ANCHOR_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -220,6 +222,121 @@ def resolved(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     return spread.mapInArrow(run, "anchor long, h1 long, h2 long, spans array<struct<a:int,b:int>>")
 
 
+def halves(part: bytes, at: int, lo: int, hi: int, a: int, b: int, length: int) -> list[tuple]:
+    """A piece is the windows of a snippet with a to b - 1 bytes before their first anchor, `part` the bytes from `at` of
+    the snippet that they cover. For both halves of lo..hi that have windows of it: (two hashes of the bytes that all
+    windows of the half share, two of the piece's own bytes, lo, hi, a, b, at, part)."""
+    from xxhash import xxh3_128_digest
+
+    out, mid = [], (lo + hi) // 2
+    for x, y in ((lo, mid), (mid, hi)):
+        c, d = max(a, x), min(b, y)
+        if c < d:
+            skip = b - d
+            own = part[skip : len(part) - (c - a)]
+            core = part[b - 1 - x : b - 1 + length - y + 1]
+            keys = np.frombuffer(xxh3_128_digest(b"%d %d " % (x, y) + core) + xxh3_128_digest(b"%d %d " % (c, d) + own), np.int64).tolist()
+            out.append((*keys, x, y, c, d, at + skip, own))
+    return out
+
+
+def pieces(raw: bytes, anchor: int, length: int) -> list[tuple]:
+    """The halves of 0..length - GRAM + 1 of all pieces of a snippet, one piece for each place of its anchor."""
+    out, before = [], -1
+    for p in np.flatnonzero(gram_hashes(raw).view(np.int64) == anchor).tolist():
+        a, b = max(0, p + length - len(raw)), min(p - before - 1, length - GRAM) + 1
+        if a < b:
+            at = p - b + 1
+            out += halves(raw[at : p - a + length], at, 0, length - GRAM + 1, a, b, length)
+        before = p
+    return out
+
+
+_PIECE = ["c1", "c2", "u1", "u2", "lo", "hi", "a", "b", "at", "part"]
+_ROW = "anchor long, h1 long, h2 long, times long, c1 long, c2 long, u1 long, u2 long, lo int, hi int, a int, b int, at int, part binary"
+
+
+def divided(rows: DataFrame, length: int = LENGTH, most: int = ANCHOR_BYTES) -> DataFrame:
+    """As `resolved`, an anchor's rows in many tasks; a snippet can have several rows of spans. Equal windows have their
+    first anchor at the same place, so they are in the same half of the places and share what all windows of that half
+    cover. Groups of pieces that share it stay together; equal pieces become one row with partial sums, a group of one
+    row ends, one of up to `most` bytes goes to the sorter, a larger one is halved again. A half of one place is a window
+    and its group one row, so no group stays larger."""
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    uri = new_folder(spark, "queues")
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+    ids = ["anchor", "h1", "h2"]
+    types = [*[pa.int64()] * 8, *[pa.int32()] * 5, pa.binary()]
+    names = [*ids, "times", *_PIECE]
+
+    def table_of(out):
+        cols = list(zip(*out)) if out else [()] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=names)
+
+    def begin(batches):
+        for b in batches:
+            out = []
+            for anchor, h1, h2, times, raw in zip(*[c.to_pylist() for c in b.columns]):
+                for x in pieces(raw, anchor, length):
+                    out.append((anchor, h1, h2, times, *x))
+                    if len(out) >= 20_000:
+                        yield table_of(out)
+                        out = []
+            yield table_of(out)
+
+    def halve(batches):
+        for b in batches:
+            yield table_of([(*r[:4], *x) for r in zip(*[c.to_pylist() for c in b.columns]) for x in halves(r[9], r[8], *r[4:8], length)])
+
+    def sort(batches):
+        held: list[tuple] = []
+        size = 0
+
+        def flush():
+            hits = repeated([(r[7], r[3]) for r in held], length, uri)
+            some = [(*r[:3], [{"a": a + r[6], "b": b + r[6]} for a, b in _spans(x, length)]) for r, x in zip(held, hits) if len(x)]
+            cols = list(zip(*some)) if some else [()] * 4
+            return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], kind)], names=[*ids, "spans"])
+
+        for b in batches:
+            for r in zip(*[c.to_pylist() for c in b.columns]):
+                if size >= SHARD_BYTES and r[4:6] != held[-1][4:6]:
+                    yield flush()
+                    held, size = [], 0
+                held.append(r)
+                size += len(r[7])
+        if held:
+            yield flush()
+
+    spans_kind = "anchor long, h1 long, h2 long, spans array<struct<a:int,b:int>>"
+    one_span = lambda a, b: F.array(F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))).alias("spans")
+    found = [rows.filter("times > 1").select(*ids, one_span(F.lit(0), F.length("snippet")))]
+    level = rows.select(*ids, "times", "snippet").repartition(few, *ids).mapInArrow(begin, _ROW)
+    while True:
+        level = written(level, "pieces")
+        keys = ["anchor", "c1", "c2", "u1", "u2"]
+        kinds = level.groupBy(*keys).agg(F.sum("times").alias("total"), F.first(F.struct("h1", "h2", "lo", "hi", "a", "b", "at", "part")).alias("one"))
+        kinds = written(kinds, "kinds")
+        equal = level.filter("times = 1").join(kinds.filter("total > 1").select(*keys), keys)
+        found.append(written(equal.select(*ids, one_span(F.col("at"), F.col("at") + F.col("b") - F.col("a") + (length - 1))), "spans"))
+        groups = kinds.groupBy("anchor", "c1", "c2").agg(F.count("*").alias("c"), F.min("total").alias("least"), F.sum(F.length("one.part")).alias("bytes"))
+        groups = written(groups.filter("c > 1 AND least = 1").select("anchor", "c1", "c2", (F.col("bytes") > most).alias("large")), "groups")
+        kinds = kinds.join(groups, ["anchor", "c1", "c2"])
+        small = kinds.filter("NOT large").select("anchor", "one.h1", "one.h2", "total", "c1", "c2", "one.at", "one.part")
+        found.append(written(small.repartition(few, "c1", "c2").sortWithinPartitions("c1", "c2").mapInArrow(sort, spans_kind), "spans"))
+        if not groups.filter("large").limit(1).count():
+            break
+        rest = kinds.filter("large").select("anchor", "one.h1", "one.h2", "total", "one.lo", "one.hi", "one.a", "one.b", "one.at", "one.part")
+        level = rest.repartition(few, "h1", "h2", "at").mapInArrow(halve, _ROW)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def cut(keyed_docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, th, spans array<struct<a,b>>: bytes to remove of each text that has any, not merged."""
     import pyarrow as pa
@@ -229,7 +346,8 @@ def cut(keyed_docs: DataFrame, length: int = LENGTH) -> DataFrame:
     hits = written(occ.join(rep, "anchor", "left_semi"), "hits")
     kinds = hits.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"), F.max("twice").alias("twice"))
     kinds = written(kinds, "kinds")
-    many = written(kinds.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.col("twice") & (F.col("times") == 1)).alias("t")).filter("c > 1 OR t").select("anchor"), "anchors")
+    many = written(kinds.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.col("twice") & (F.col("times") == 1)).alias("t"), F.sum(F.col("one.n") + (length - 1)).alias("bytes")).filter("c > 1 OR t").select("anchor", "bytes"), "anchors")
+    large = many.filter(F.col("bytes") > ANCHOR_BYTES).select("anchor")
     alone = kinds.join(many, "anchor", "left_anti").select("anchor", "h1", "h2", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.n") + (length - 1)).cast("int").alias("b"))).alias("spans"))
     wanted = kinds.join(many, "anchor", "left_semi").select(F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"), F.struct("anchor", "h1", "h2", "times", F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("w"))
     wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # no more than the text has snippets
@@ -246,7 +364,12 @@ def cut(keyed_docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = keyed_docs.filter(F.octet_length("text") >= length).join(wanted, ["doc_id", "th"])
     texts = texts.dropDuplicates(["doc_id", "th"]) if _repeats(occ) else texts
     open_ = texts.select("text", "w").mapInArrow(pick, "anchor long, h1 long, h2 long, times long, snippet binary")
-    spans = written(alone.unionByName(resolved(open_, length)), "spans")
+    if large.limit(1).count():
+        open_ = written(open_, "open")
+        done = resolved(open_.join(large, "anchor", "left_anti"), length).unionByName(divided(open_.join(large, "anchor", "left_semi"), length, ANCHOR_BYTES))
+    else:
+        done = resolved(open_, length)
+    spans = written(alone.unionByName(done), "spans")
     per = hits.join(spans, ["anchor", "h1", "h2"]).select("doc_id", "th", F.transform("spans", lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b"))).alias("s"))
     return per.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
 
