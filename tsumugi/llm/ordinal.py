@@ -29,7 +29,7 @@ from .common import small_batches, table, written
 DIM = 1 << 18
 SHAPES = 64  # the last cells are for densities
 SCALE = 20.0
-MAX_TRAIN = 10_000
+MAX_TRAIN = 12_000
 MIN_DOCS = 12
 TAIL = 0.5
 GRADES = 3
