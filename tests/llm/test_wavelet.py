@@ -21,6 +21,8 @@ def test_matrix_equals_array(n):
     for t in (0, 5, 59):
         assert wm.occurrences(t) == np.flatnonzero(v == t).tolist()
         assert wm.count(t, n // 3, n // 2) == int((v[n // 3 : n // 2] == t).sum())
+        assert wm.counts(t, np.arange(n + 1)).tolist() == [int((v[:i] == t).sum()) for i in range(n + 1)]
+    assert wm.accesses(np.arange(n)).tolist() == v.tolist()
     with pytest.raises(IndexError):
         wm.access(n)
     with pytest.raises(IndexError):
@@ -42,6 +44,24 @@ def test_ids_equal_library():
         assert np.frombuffer(own.encode(t), "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, t[:60]
 
 
+def test_blocks_and_batches_equal_library():
+    lib, own = Tokenizer.from_file(PATH), wavelet.WordIds(PATH)
+    own.BLOCK = 700
+    long = " ".join(["it's", "l'été", "x" * 40, "3.14", "we'll'S!!'s"] * 90)
+    texts = [long, "a", "", "日本", long[:333], "'", "''s 't", " ", long + "\n", "y" * 3000, "end"]
+    got = own.encode_all(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_lookups_by_access_and_rank(spark):
+    rows = [(i, "# a # b" * (i % 3)) for i in range(50)]
+    got = wavelet.read_shards(wavelet.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), PATH, 2, new_folder(spark, "t"), shard_tokens=30), 2).collect()
+    lib = Tokenizer.from_file(PATH)
+    for r in got:
+        ids = [*lib.encode(rows[r.doc_id][1], add_special_tokens=False).ids, 2]
+        assert (r.first_id, r.n_end_ids) == (ids[0], ids.count(2))
+
+
 def test_write_and_read_back(spark):
     rows = [(i * 7 % 101, None if i % 9 == 0 else "" if i % 11 == 0 else f"Word {i} three's " * (i % 5), "x") for i in range(101)] + [(200, "same", "x"), (200, "same", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, start string")

@@ -4,7 +4,8 @@ A shard file holds the token ids of consecutive documents as bit-planes, highest
 are stably parted, zeros before ones. With counts of ones per 512 bits, rank and select are constant-time, so a reader
 of the one compressed file gets the token at a place, counts a token within a range, and lists a token's occurrences
 without unpacking the tokens. `op4_wavelet` encodes with the tokenizers library, appends an end id to each document,
-writes shards in ascending doc_id order, reads them back and reports each document from what it read.
+writes shards in ascending doc_id order, reads them back and reports each document from what it read: ends and first
+ids by access, end ids by rank, checksums from one inversion of all planes, which is cheaper than access token by token.
 
 Null and empty texts hold only the end id. A document is never split between shards; one that is longer than a shard's
 usual size gets a shard of its own. Rows with the same doc_id stay rows of their own, in the order of their texts'
@@ -16,12 +17,13 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from array import array
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import _byte_alphabet
 from .common import get_file, new_folder, prefix_sums, put_file, small_batches, table, written
 
 MAGIC = b"TSWM0001"
@@ -40,13 +42,14 @@ class WaveletMatrix:
     def build(cls, values: np.ndarray, bits: int) -> WaveletMatrix:
         v = values.astype(np.uint16 if bits <= 16 else np.uint32)
         zeros, planes = np.zeros(bits, np.int64), []
+        spare, one = np.empty_like(v), np.empty(len(v), bool)
         for k in range(bits):
-            b = (v >> (bits - 1 - k)) & 1
-            one = b.astype(bool)
+            np.not_equal(v & v.dtype.type(1 << (bits - 1 - k)), 0, out=one)
             planes.append(np.packbits(one, bitorder="little"))
-            low = v[~one]
-            zeros[k] = len(low)
-            v = np.concatenate([low, v[one]])
+            zeros[k] = z = len(v) - np.count_nonzero(one)
+            np.compress(one, v, out=spare[z:])
+            np.compress(np.logical_not(one, out=one), v, out=spare[:z])
+            v, spare = spare, v
         return cls(len(values), bits, zeros, planes)
 
     def all(self) -> np.ndarray:
@@ -92,6 +95,38 @@ class WaveletMatrix:
             v = v << 1 | int(bit)
         return v
 
+    def ranks1(self, k: int, i: np.ndarray) -> np.ndarray:
+        """`rank1` at many places of plane k: the block's count, whole bytes before, and the last byte's low bits."""
+        p, byte = self.planes[k], i >> 3
+        if not len(p):
+            return np.zeros(len(i), np.int64)
+        own = np.bitwise_count(np.append(p, np.uint8(0))[byte] & ((1 << (i & 7)) - 1).astype(np.uint8)).astype(np.int64)
+        first = i // BLOCK * (BLOCK // 8)
+        near = np.arange(BLOCK // 8)
+        for lo in range(0, len(i), 4096):
+            at = first[lo : lo + 4096, None] + near
+            own[lo : lo + 4096] += np.where(at < byte[lo : lo + 4096, None], np.bitwise_count(p[np.minimum(at, len(p) - 1)]), 0).sum(1, dtype=np.int64)
+        return own + self.ones(k)[i // BLOCK]
+
+    def accesses(self, i: np.ndarray) -> np.ndarray:
+        """The tokens at many places."""
+        i, v = np.asarray(i, np.int64), np.zeros(len(i), np.int64)
+        for k in range(self.bits):
+            bit = (self.planes[k][i >> 3] >> (i & 7).astype(np.uint8) & 1).astype(np.int64) if len(i) else i
+            r = self.ranks1(k, i)
+            i = np.where(bit == 1, int(self.zeros[k]) + r, i - r)
+            v = v << 1 | bit
+        return v
+
+    def counts(self, token: int, places: np.ndarray) -> np.ndarray:
+        """Occurrences of the token before each of many places."""
+        lo, hi = 0, np.asarray(places, np.int64)
+        for k in range(self.bits):
+            one = token >> (self.bits - 1 - k) & 1
+            a, b = self.rank1(k, lo), self.ranks1(k, hi)
+            lo, hi = (int(self.zeros[k]) + a, int(self.zeros[k]) + b) if one else (lo - a, hi - b)
+        return hi - lo
+
     def _range(self, token: int, lo: int, hi: int) -> tuple[int, int]:
         for k in range(self.bits):
             a, b = self.rank1(k, lo), self.rank1(k, hi)
@@ -139,27 +174,48 @@ def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, WaveletMatrix]:
     return docs, sizes, WaveletMatrix(n, bits, zeros, [np.frombuffer(x, np.uint8) for x in parts[3:]])
 
 
+def _classes(spaces: str, letters: str, digits: str) -> bytes:
+    chars = map(chr, range(256))
+    return bytes(0 if c in spaces else 1 if re.match(letters, c) else 2 if re.match(digits, c) else 3 for c in chars)
+
+
+def _stand_ins() -> dict[int, str]:
+    by = {b: c for c, b in _byte_alphabet().items()}
+    return {i: "".join(by[b] for b in chr(i).encode()) for i in range(256)}
+
+
 class WordIds:
     """Ids of whole texts as the tokenizers library gives them, for a vocabulary whose pieces never reach across white
-    space: the library encodes each distinct lower-cased run of non-space once and a cache repeats it. Texts with
-    characters outside Latin-1, or with added tokens or rare control characters, go to the library whole."""
+    space: the library encodes each distinct piece once and a cache repeats it. Pieces of lower-cased Latin-1 text are
+    cut in vectors over blocks of many texts, numbered by Arrow's dictionary encoding and looked up once per distinct
+    piece and block. Texts with characters outside Latin-1, or with added tokens or rare control characters, go to the
+    library whole."""
 
     #: the pieces of a lower-cased Latin-1 word, as the vocabulary's pattern cuts them
     PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
     ODD = re.compile("[\x1c-\x1f\x85]")
-
-    def __init__(self, path: str, cache: int = 300_000):
+    SPACES = "\t\n\v\f\r \xa0"
+    #: by Latin-1 character: 0 white space, 1 letter, 2 digit (each a piece of its own), 3 other
+    CLASS = _classes(SPACES, "[a-zªµºß-öø-ÿ]", "[0-9²³¹¼-¾]")
+    #: byte-level vocabularies write a character as one printable stand-in for each of its UTF-8 bytes
+    STAND_IN = _stand_ins()
+    BLOCK = 2 << 20
+
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_padding()
         self.lib.no_truncation()
         self.added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.cache: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.most = cache
         self.bits = max(1, (self.lib.get_vocab_size(True) - 1).bit_length())
+        self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.ends = np.empty(0, self.kind), np.zeros(1, np.int64)
 
     def plain(self, text: str) -> bool:
         try:
@@ -170,29 +226,89 @@ class WordIds:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        """Of each text; what the caches lack goes to the library in one batch, a piece at a time."""
-        words = [t.lower().split() if self.plain(t) else None for t in texts]
-        if len(self.cache) > self.most:  # two generations: what is in use survives
-            self.cache, self.older = {}, self.cache
-        cache, older = self.cache, self.older
-        missing = set().union(*[w for w in words if w]).difference(cache)
-        for w in missing.intersection(older):
-            cache[w] = older[w]
-        new = {w: self.PIECE.findall(w) for w in missing.difference(older)}
-        if len(self.pieces) > self.most:
-            self.pieces.clear()
-        lack = list({p for ps in new.values() for p in ps}.difference(self.pieces))
-        if lack:
-            for p, e in zip(lack, self.lib.encode_batch(lack, add_special_tokens=False)):
-                self.pieces[p] = array("I", e.ids).tobytes()
-        get = self.pieces.__getitem__
-        for w, ps in new.items():
-            cache[w] = get(ps[0]) if len(ps) == 1 else b"".join(map(get, ps))
-        get = cache.__getitem__
-        return [b"".join(map(get, w)) if w is not None else np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, w in zip(texts, words)]
+        return self.encode_all([text])[0].astype("<u4").tobytes()
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        out: list = [None] * len(texts)
+        held: list[tuple[int, bytes]] = []
+        size = 0
+
+        def flush():
+            nonlocal held, size
+            ids, ends = self._plain_ids([r for _, r in held])
+            for (i, _), a, b in zip(held, [0, *ends], ends):
+                out[i] = ids[a:b]
+            held, size = [], 0
+
+        for i, t in enumerate(texts):
+            if not self.plain(t):
+                out[i] = np.array(self.lib.encode(t, add_special_tokens=False).ids, self.kind)
+                continue
+            raw = t.lower().encode("latin-1")
+            if held and size + len(raw) > self.BLOCK:
+                flush()
+            held.append((i, raw))
+            size += len(raw) + 1
+        if held:
+            flush()
+        return out
+
+    def _plain_ids(self, raws: list[bytes]) -> tuple[np.ndarray, list[int]]:
+        """Ids of some texts one after the other, and where each text's end."""
+        if len(raws) == 1 and len(raws[0]) > 2 * self.BLOCK:  # a long text in blocks that end at white space
+            raw, cls, at, parts = raws[0], raws[0].translate(self.CLASS), 0, []
+            while at < len(raw):
+                to = cls.find(b"\0", at + self.BLOCK)
+                to = len(raw) if to < 0 else to
+                parts.append(self._block(raw[at:to])[0])
+                at = to
+            ids = np.concatenate(parts)
+            return ids, [len(ids)]
+        ids, starts, at_piece = self._block(b" ".join(raws))
+        last = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        return ids, at_piece[np.searchsorted(starts, last)].tolist()
+
+    def _block(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place in `raw` of each piece, ids before each piece and in all)."""
+        import pyarrow as pa
+
+        cls = np.frombuffer(raw.translate(self.CLASS), np.uint8)
+        inside = cls != 0
+        first = inside.copy()
+        first[1:] &= (cls[1:] != cls[:-1]) | (cls[1:] == 2)
+        if b"'" in raw:  # contractions: the words that hold one are cut by the pattern
+            text = raw.decode("latin-1")
+            for word in re.finditer(f"[^{self.SPACES}]*'[^{self.SPACES}]*", text):
+                first[word.start() : word.end()] = False
+                first[[word.start() + m.start() for m in self.PIECE.finditer(word[0])]] = True
+        starts = np.flatnonzero(first)
+        body = np.frombuffer(raw, np.uint8)[inside]
+        offsets = np.append(np.flatnonzero(first[inside]), len(body)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+        number = self._numbers(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
+        which = number[pieces.indices.to_numpy()] if len(number) else number
+        n = self.ends[which + 1] - self.ends[which]
+        before = np.concatenate([[0], np.cumsum(n)])
+        ids = self.flat[np.repeat(self.ends[which] - before[:-1], n) + np.arange(before[-1])]
+        return ids, starts, before
+
+    def _numbers(self, pieces: list[bytes]) -> np.ndarray:
+        """Numbers of distinct pieces in the cache; what it lacks goes to the library."""
+        if len(self.number) > self.most:
+            self._forget()
+        found = list(map(self.number.get, pieces, repeat(-1)))
+        number = np.array(found, np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            lack = [pieces[i] for i in new.tolist()]
+            number[new] = np.arange(len(self.number), len(self.number) + len(new))
+            self.number.update(zip(lack, number[new].tolist()))
+            tokenize = self.lib.model.tokenize  # the library's model: pieces are normalised and cut already
+            got = [[t.id for t in tokenize(p.decode("latin-1").translate(self.STAND_IN))] for p in lack]
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.array(list(map(len, got)), np.int64))])
+            self.flat = np.concatenate([self.flat, np.array(list(chain.from_iterable(got)), self.kind)])
+        return number
 
 
 _LOADED: dict[str, WordIds] = {}
@@ -214,29 +330,28 @@ def write_shards(df: DataFrame, path: str, end_id: int, uri: str, shard_tokens:
 
         part, run_no, k = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId(), 0
         enc = loaded(path)
-        tail = np.array([end_id], "<u4").tobytes()
+        tail = np.array([end_id], enc.kind)
         docs: list[int] = []
-        texts: list[bytes] = []
+        texts: list[np.ndarray] = []
         held = 0
 
         def flush():
             nonlocal docs, texts, held, k
-            sizes = np.fromiter((len(t) // 4 for t in texts), np.int64, len(texts))
+            sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
             file = f"{uri}/part-{part:06d}-{run_no:08d}-{k:06d}.wm"
-            put_file(file, pack(np.array(docs, np.int64), sizes, np.frombuffer(b"".join(texts), "<u4"), enc.bits))
+            put_file(file, pack(np.array(docs, np.int64), sizes, np.concatenate([x for t in texts for x in (t, tail)]), enc.bits))
             row = (part, k, file, len(docs), held)
             docs, texts, held, k = [], [], 0, k + 1
             return row
 
         for b in batches:
             rows = []
-            ids, said = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for d, x in ((d, x + tail) for lo in range(0, len(ids), 128) for d, x in zip(ids[lo : lo + 128], enc.encode_all([t or "" for t in said[lo : lo + 128]]))):
-                if docs and held + len(x) // 4 > shard_tokens:
+            for d, x in zip(b.column(0).to_pylist(), enc.encode_all([t or "" for t in b.column(1).to_pylist()])):
+                if docs and held + len(x) + 1 > shard_tokens:
                     rows.append(flush())
                 docs.append(d)
                 texts.append(x)
-                held += len(x) // 4
+                held += len(x) + 1
             if rows:
                 yield _batch(rows)
         if docs:
@@ -254,9 +369,11 @@ def write_shards(df: DataFrame, path: str, end_id: int, uri: str, shard_tokens:
     return written(rows.mapInArrow(run, "part int, shard int, file string, n_docs long, n_tokens long"), "manifest")
 
 
-def read_shards(manifest: DataFrame) -> DataFrame:
+def read_shards(manifest: DataFrame, end_id: int | None = None) -> DataFrame:
     """One row per document from the shard files: doc_id, start, n_tokens, ids_crc32. A file is one row of the manifest,
-    spread over the tasks by hash, and is read whole (a shard's size is bounded, save for a single longer document)."""
+    spread over the tasks by hash, and is read whole (a shard's size is bounded, save for a single longer document).
+    With `end_id`, access must find it at each document's end (else the file is refused), and first_id (by access) and
+    n_end_ids (by rank over the document's range) are added."""
     import pyarrow as pa
     from pyspark.sql import Window
 
@@ -274,13 +391,18 @@ def read_shards(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for file, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 docs, sizes, wm = unpack(get_file(file))
-                ids = wm.all().astype("<u4")
                 ends = np.cumsum(sizes)
-                view = memoryview(ids).cast("B")
+                view = memoryview(wm.all().astype("<u4")).cast("B")
                 crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), sizes.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                cols = [pa.array(docs), pa.array(start + ends - sizes), pa.array(sizes), pa.array(crc, pa.int64())]
+                if end_id is not None:
+                    if (wm.accesses(ends - 1) != end_id).any():
+                        raise ValueError(f"{file}: a document doesn't end with {end_id}")
+                    before = wm.counts(end_id, np.concatenate([[0], ends]))
+                    cols += [pa.array(wm.accesses(ends - sizes)), pa.array(np.diff(before))]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids_crc32", "first_id", "n_end_ids"][: len(cols)])
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", first_id long, n_end_ids long" * (end_id is not None))
 
 
 def op4_wavelet(spark, sf_dir: str) -> DataFrame:
@@ -288,4 +410,4 @@ def op4_wavelet(spark, sf_dir: str) -> DataFrame:
 
     small_batches(spark)
     uri = new_folder(spark, "shards")
-    return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, uri))
+    return read_shards(write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2, uri), 2)
