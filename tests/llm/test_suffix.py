@@ -62,6 +62,32 @@ def test_documents(spark):
     compare(spark, texts, 400)
 
 
+def test_two_lengths_at_once(spark):
+    rnd = random.Random(8)
+    texts = made(rnd, 60, "abcdefgh é", 40)
+    texts += texts[7:12]
+    df = spark.createDataFrame([(i % 70, t) for i, t in enumerate(texts)] + [(None, texts[9]), (-(2**63), texts[9])], "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.passage_removed, r.passage_spans) for r in suffix.digests(df, 90, 40).collect())
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = [(str(d), *a, *b[1:3]) for (d, _), a, b in zip(rows, brute([t for _, t in rows], 90), brute([t for _, t in rows], 40))]
+    assert got == sorted(want) and any(w[2] != w[5] for w in want)
+    assert suffix.digests(df.limit(0), 90, 40).count() == 0
+
+
+def test_passages_of_over_50_words_go(spark):
+    rnd = random.Random(3)
+    word = lambda: "".join(rnd.choice("aeioutnrs") for _ in range(rnd.randint(3, 8)))
+    words = lambda n: " ".join(word() for _ in range(n))
+    passages = [words(n) for n in range(51, 61)]
+    docs = [f"{words(40)} {p} {words(rnd.randint(5, 90))}" for p in passages * 3] + [words(120) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, 1, 2, 3, 4, 5) for i, t in enumerate(docs)], "doc_id long, text string, one int, two int, spans int, _d int, id int")
+    got = {r.doc_id: r for r in suffix.dedup(df, suffix.PASSAGE).collect()}
+    assert got[0].asDict().keys() == set(df.columns) and all(tuple(r)[2:] == (1, 2, 3, 4, 5) for r in got.values())
+    for i, t in enumerate(docs):
+        p = passages[i % 10] if i < 30 else ""
+        assert (p not in got[i].text and len(got[i].text) >= len(t) - len(p) - 8) if p else got[i].text == t
+
+
 def test_dedup_and_repeated_rows(spark):
     p = "".join(random.Random(1).choice("abcdefgh") for _ in range(100))
     df = spark.createDataFrame([(1, "x" + p + "y", 5), (1, "x" + p + "y", 5), (None, "q" + p, 6), (4, None, 7), (5, "left whole", 8)], "doc_id long, text string, th int")

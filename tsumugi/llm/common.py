@@ -36,9 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_folder(spark: SparkSession, what: str) -> str:
-    """URI of a folder not used before, inside the shared folder."""
-    return f"{shared_dir(spark)}/tsumugi-{what}-{uuid.uuid4().hex[:12]}"
+    """URI of a folder not used before, inside the shared folder; what is left of it goes when the driver ends."""
+    at = f"{shared_dir(spark)}/tsumugi-{what}-{uuid.uuid4().hex[:12]}"
+    if not _MADE:
+        atexit.register(lambda: [drop_folder(x) for x in _MADE])
+    _MADE.append(at)
+    return at
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -47,7 +54,35 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     at = new_folder(spark, what)
     df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    out = spark.read.schema(df.schema).parquet(at)
+    out._written_at = at
+    return out
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete `written` tables that no plan still to run reads."""
+    for t in tables:
+        drop_folder(t._written_at)
+
+
+def drop_folder(uri: str) -> None:
+    where, path = filesystem(uri)
+    try:
+        where.delete_dir(path)
+    except (FileNotFoundError, OSError):  # gone already
+        pass
+
+
+def free(df: DataFrame, *names: str) -> list[str]:
+    """These names, made longer where a column of df has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def filesystem(uri: str):

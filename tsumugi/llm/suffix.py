@@ -10,10 +10,14 @@ LENGTH bytes or more with a neighbour. Shards hold whole anchors and SHARD_BYTES
 ANCHOR_BYTES of different snippets, as a line has that stands in many texts, is split before (`divided`): by where the
 anchor stands in a window, and by the bytes that all windows with it there share.
 
+`op9_suffix` reports LENGTH bytes, and in further columns PASSAGE bytes: 50 words of three letters and a space, the
+least that a passage of over 50 words has. What repeats over LENGTH bytes lies within what repeats over PASSAGE bytes,
+so the shorter length is looked for first and the longer one only within its runs.
+
 Matches stay within documents and are judged on the input. Null and empty texts have no bytes. Documents shorter than
-LENGTH are left whole. Rows that repeat a doc_id with the same text are separate documents that cover each other. Null
-doc_ids are allowed. Columns other than doc_id and text pass through `dedup` untouched. Texts of any length are read in
-blocks; a block's edge splits a snippet but no window.
+the length are left whole. Rows that repeat a doc_id with the same text are separate documents that cover each other.
+Null doc_ids are allowed. Columns other than doc_id and text pass through `dedup` untouched, whatever their names. Texts
+of any length are read in blocks; a block's edge splits a snippet but no window.
 """
 
 from __future__ import annotations
@@ -24,10 +28,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, small_batches, table, written
+from .common import drop_tables, free, new_folder, small_batches, table, written
 from .esais import suffix_array
 
 LENGTH = 400
+#: for passages of over 50 words, or 50 tokens, at 4 bytes a word with the space behind it
+PASSAGE = 200
 GRAM = 16
 BLOCK_STARTS = 1 << 20
 SHARD_BYTES = 8 << 20
@@ -61,27 +67,38 @@ def anchors(raw: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
     low = np.minimum(suf[: len(h) - w + 1], pre[w - 1 : len(h)])
     at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     v, n = low[at], np.diff(np.append(at, len(low)))
+    # each place whose hash is the least of a window with it belongs to one snippet, and each snippet has such a place
+    full = np.zeros(len(h) + w - 1 + -(len(h) + w - 1) % w, np.uint64)
+    full[w - 1 : w - 1 + len(low)] = low
+    full = full.reshape(-1, w)
+    pre = np.maximum.accumulate(full, axis=1).ravel()
+    suf = np.maximum.accumulate(full[:, ::-1], axis=1)[:, ::-1].ravel()
+    if np.count_nonzero(np.maximum(suf[: len(h)], pre[w - 1 : w - 1 + len(h)]) == h) == len(at):
+        return v, at, n, np.zeros(len(at), bool)
     twice = np.array([np.count_nonzero(h[a : a + k + w - 1] == x) > 1 for a, k, x in zip(at.tolist(), n.tolist(), v)], bool)
     return v, at, n, twice
 
 
+def text_keys() -> tuple:
+    """Two numbers that name a row's doc_id and text; equal rows share them. A null doc_id is none of the real ones."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64(F.col("doc_id").isNull(), F.coalesce("text", F.lit("")))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id and a hash of the text name a text; equal rows share it."""
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    """id and th (`text_keys`), base (place of the bytes in the text), raw (the text's bytes), doc_id."""
+    one, two = text_keys()
+    return docs.select(one.alias("id"), two.alias("th"), F.lit(0).alias("base"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def snippets(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """anchor, doc_id, th, start, n (windows), twice, h1, h2 (hash of the snippet's bytes), from `keyed` documents."""
+    """anchor, id, th, base, start, n (windows), twice, h1, h2 (hash of the snippet's bytes), from `keyed` documents."""
     import pyarrow as pa
     from xxhash import xxh3_128_digest
 
     def run(batches):
         for b in batches:
             cols: list[list] = [[] for _ in range(6)]
-            texts = b.column(2).to_pylist()
-            for row, text in enumerate(texts):
-                raw = text.encode()
+            for row, raw in enumerate(b.column(3).to_numpy(zero_copy_only=False)):
                 for base in range(0, len(raw) - length + 1, BLOCK_STARTS):
                     part = raw[base : base + BLOCK_STARTS + length - 1]
                     low, at, n, twice = anchors(part, length)
@@ -92,9 +109,10 @@ def snippets(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 continue
             row, low, at, n, twice, h = (np.concatenate(c) for c in cols)
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(low), b.column(0).take(take), b.column(1).take(take), pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(twice), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))], names=["anchor", "doc_id", "th", "start", "n", "twice", "h1", "h2"])
+            own = [pa.array(low), *[b.column(i).take(take) for i in range(3)], pa.array(at, pa.int32()), pa.array(n, pa.int32()), pa.array(twice), pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1]))]
+            yield pa.RecordBatch.from_arrays(own, names=["anchor", "id", "th", "base", "start", "n", "twice", "h1", "h2"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "anchor long, doc_id long, th long, start int, n int, twice boolean, h1 long, h2 long")
+    return docs.select("id", "th", "base", "raw").mapInArrow(run, "anchor long, id long, th long, base int, start int, n int, twice boolean, h1 long, h2 long")
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -209,7 +227,7 @@ def resolved(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:3]], pa.array(cols[3], kind)], names=["anchor", "h1", "h2", "spans"])
 
         for b in batches:
-            for r in zip(*[c.to_pylist() for c in b.columns]):
+            for r in zip(*[c.to_numpy(zero_copy_only=False).tolist() for c in b.columns]):
                 if size >= SHARD_BYTES and r[0] != held[-1][0]:
                     yield flush()
                     held, size = [], 0
@@ -338,50 +356,66 @@ def divided(rows: DataFrame, length: int = LENGTH, most: int = ANCHOR_BYTES) ->
 
 
 def cut(keyed_docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """doc_id, th, spans array<struct<a,b>>: bytes to remove of each text that has any, not merged."""
+    """id, th, spans array<struct<a,b>>: bytes to remove of each text that has any, not merged."""
     import pyarrow as pa
 
+    whole = ["id", "th", "base"]
     occ = written(snippets(keyed_docs, length), "snippets")
+    # do rows repeat as a whole? then a text's first snippet stands twice at one place
+    rows_repeat = bool(occ.filter("start = 0").groupBy(*whole).agg(F.count("*").alias("c")).filter("c > 1").limit(1).count())
     rep = written(occ.groupBy("anchor").agg(F.count("*").alias("c"), F.max("twice").alias("twice")).filter("c > 1 OR twice").select("anchor"), "anchors")
     hits = written(occ.join(rep, "anchor", "left_semi"), "hits")
-    kinds = hits.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "th", "start", "n")).alias("one"), F.max("twice").alias("twice"))
+    drop_tables(occ, rep)
+    kinds = hits.groupBy("anchor", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("id", "th", "base", "start", "n")).alias("one"), F.max("twice").alias("twice"))
     kinds = written(kinds, "kinds")
     many = written(kinds.groupBy("anchor").agg(F.count("*").alias("c"), F.max(F.col("twice") & (F.col("times") == 1)).alias("t"), F.sum(F.col("one.n") + (length - 1)).alias("bytes")).filter("c > 1 OR t").select("anchor", "bytes"), "anchors")
     large = many.filter(F.col("bytes") > ANCHOR_BYTES).select("anchor")
     alone = kinds.join(many, "anchor", "left_anti").select("anchor", "h1", "h2", F.array(F.struct(F.lit(0).alias("a"), (F.col("one.n") + (length - 1)).cast("int").alias("b"))).alias("spans"))
-    wanted = kinds.join(many, "anchor", "left_semi").select(F.col("one.doc_id").alias("doc_id"), F.col("one.th").alias("th"), F.struct("anchor", "h1", "h2", "times", F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("w"))
-    wanted = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # no more than the text has snippets
+    wanted = kinds.join(many, "anchor", "left_semi").select("one.id", "one.th", "one.base", F.struct("anchor", "h1", "h2", "times", F.col("one.start").alias("start"), F.col("one.n").alias("n")).alias("w"))
+    wanted = wanted.groupBy(*whole).agg(F.collect_list("w").alias("w"))  # no more than the text has snippets
 
     def pick(batches):
         for b in batches:
-            out = []
-            for text, ws in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = text.encode()
-                out += [(w["anchor"], w["h1"], w["h2"], w["times"], raw[w["start"] : w["start"] + w["n"] + length - 1]) for w in ws]
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=["anchor", "h1", "h2", "times", "snippet"])
-
-    texts = keyed_docs.filter(F.octet_length("text") >= length).join(wanted, ["doc_id", "th"])
-    texts = texts.dropDuplicates(["doc_id", "th"]) if _repeats(occ) else texts
-    open_ = texts.select("text", "w").mapInArrow(pick, "anchor long, h1 long, h2 long, times long, snippet binary")
+            raws, lists = b.column(0).to_numpy(zero_copy_only=False), b.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.flatten()
+            cols = [flat.field(i) for i in range(6)]
+            start, n = cols[4].to_numpy().tolist(), cols[5].to_numpy().tolist()
+            first = int(ends[0])
+            out = [raw[start[k] : start[k] + n[k] + length - 1] for raw, x, y in zip(raws, ends, ends[1:]) for k in range(int(x) - first, int(y) - first)]
+            yield pa.RecordBatch.from_arrays([*cols[:4], pa.array(out, pa.binary())], names=["anchor", "h1", "h2", "times", "snippet"])
+
+    texts = keyed_docs.select(*whole, "raw").filter(F.octet_length("raw") >= length).join(wanted, whole)
+    texts = texts.dropDuplicates(whole) if rows_repeat else texts
+    open_ = texts.select("raw", "w").mapInArrow(pick, "anchor long, h1 long, h2 long, times long, snippet binary")
     if large.limit(1).count():
         open_ = written(open_, "open")
         done = resolved(open_.join(large, "anchor", "left_anti"), length).unionByName(divided(open_.join(large, "anchor", "left_semi"), length, ANCHOR_BYTES))
     else:
         done = resolved(open_, length)
     spans = written(alone.unionByName(done), "spans")
-    per = hits.join(spans, ["anchor", "h1", "h2"]).select("doc_id", "th", F.transform("spans", lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b"))).alias("s"))
-    return per.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
-
-
-def _repeats(occ: DataFrame) -> bool:
-    """Do rows repeat as a whole? Then a text's snippet stands twice at one place."""
-    return bool(occ.filter("start = 0").groupBy("doc_id", "th").agg(F.count("*").alias("c")).filter("c > 1").limit(1).count())
+    drop_tables(kinds, many)
+    at = F.col("start") + F.col("base")
+    per = hits.join(spans, ["anchor", "h1", "h2"]).select("id", "th", F.transform("spans", lambda s: F.struct((s.a + at).alias("a"), (s.b + at).alias("b"))).alias("s"))
+    return per.groupBy("id", "th").agg(F.flatten(F.collect_list("s")).alias("spans"))
+
+
+def _pairs(col) -> list[list[tuple[int, int]]]:
+    """(a, b) lists of an Arrow column of spans; null: none."""
+    ends = col.offsets.to_numpy()
+    flat = col.flatten()
+    both = list(zip(flat.field(0).to_numpy().tolist(), flat.field(1).to_numpy().tolist()))
+    null = col.is_null().to_numpy(zero_copy_only=False).tolist() if col.null_count else [False] * len(col)
+    out, at = [], 0
+    for gone, x, y in zip(null, ends.tolist(), ends[1:].tolist()):
+        k = 0 if gone else y - x
+        out.append(both[at : at + k])
+        at += k
+    return out
 
 
 def merged(spans) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans or []):
+    for a, b in sorted(spans):
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], max(b, out[-1][1]))
         else:
@@ -394,40 +428,83 @@ def keep(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(ends, [*[a for a, _ in spans], len(raw)]))
 
 
-def digests(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+_SPANS = "spans array<struct<a:int,b:int>>"
+
+
+def runs(keyed_docs: DataFrame, length: int) -> DataFrame:
+    """id, th, spans: the maximal removed runs of each text that has any, in order; a written table."""
     import pyarrow as pa
 
-    keyed_docs = keyed(docs)
-    both = keyed_docs.join(cut(keyed_docs, length), ["doc_id", "th"], "left").select("doc_id", "text", "spans")
+    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
     def run(batches):
         for b in batches:
-            rows = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw, m = text.encode(), merged(spans)
-                rows.append((len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(keep(raw, m)).hexdigest()))
-            cols = list(zip(*rows)) if rows else [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            got = [[{"a": x, "b": y} for x, y in merged(p)] for p in _pairs(b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, kind)], names=["id", "th", "spans"])
 
-    out = both.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != F.lit(-(2**63)), F.col("doc_id")))
+    return written(cut(keyed_docs, length).mapInArrow(run, "id long, th long, " + _SPANS), "runs")
+
+
+def within(keyed_docs: DataFrame, shorter: DataFrame, length: int) -> DataFrame:
+    """What can repeat over `length` bytes, as rows like keyed_docs: a repeated string is covered by repeated shorter
+    ones, so it lies within one of their runs."""
+    import pyarrow as pa
+
+    long = shorter.withColumn("spans", F.filter("spans", lambda s: s.b - s.a >= length)).filter(F.size("spans") > 0)
+
+    def run(batches):
+        for b in batches:
+            raws, spans = b.column(2).to_numpy(zero_copy_only=False), _pairs(b.column(3))
+            take = pa.array([i for i, p in enumerate(spans) for _ in p], pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array([x for p in spans for x, _ in p], pa.int32()), pa.array([raw[x:y] for raw, p in zip(raws, spans) for x, y in p], pa.binary())], names=["id", "th", "base", "raw"])
+
+    both = keyed_docs.select("id", "th", "raw").join(long, ["id", "th"])
+    return written(both.mapInArrow(run, "id long, th long, base int, raw binary"), "within")
+
+
+def digests(docs: DataFrame, length: int = LENGTH, shorter: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256. With `shorter` also passage_removed and passage_spans, as
+    n_removed and n_spans for that length; strings of `length` bytes are then looked for within those runs."""
+    import pyarrow as pa
+
+    docs = keyed(docs)
+    found = [runs(docs, shorter)] if shorter else []
+    found.insert(0, runs(within(docs, found[0], length) if shorter else docs, length))
+    both = docs
+    for k, f in enumerate(found):
+        both = both.join(f.withColumnRenamed("spans", f"spans{k}"), ["id", "th"], "left")
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["passage_removed", "passage_spans"] * bool(shorter)]
+
+    def run(batches):
+        for b in batches:
+            cols = [b.column(0), [], [], [], [], [], []]
+            longer = _pairs(b.column(2))
+            short = _pairs(b.column(3)) if shorter else longer
+            for raw, m, s in zip(b.column(1).to_numpy(zero_copy_only=False), longer, short):
+                row = (len(raw), sum(y - x for x, y in m), len(m), hashlib.sha256(keep(raw, m)).hexdigest(), sum(y - x for x, y in s), len(s))
+                for c, x in zip(cols[1:], row):
+                    c.append(x)
+            kinds = [None, pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([c if k is None else pa.array(c, k) for c, k in list(zip(cols, kinds))[: len(names)]], names=names)
+
+    out = both.select("doc_id", "raw", *[f"spans{k}" for k in range(len(found))])
+    return out.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", passage_removed long, passage_spans long" * bool(shorter))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with the covered bytes taken out of column text; a character that a cut splits is dropped."""
     import pyarrow as pa
-
     from pyspark.sql import types as T
 
     from .bpe import _map
 
-    cuts = cut(keyed(docs), length).select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("spans").alias("_spans"))
-    on = (F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))) == F.col("_d")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_t"))
-    both = docs.join(cuts, on, "left").drop("_d", "_t")
+    one, two, sp = free(docs, "one", "two", "spans")
+    k1, k2 = text_keys()
+    cuts = cut(keyed(docs), length).select(F.col("id").alias(one), F.col("th").alias(two), F.col("spans").alias(sp))
+    both = docs.withColumns({one: k1, two: k2}).join(cuts, [one, two], "left")
 
     def fn(b):
-        texts, spans = b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_spans")).to_pylist()
+        texts, spans = b.column(b.schema.get_field_index("text")).to_pylist(), _pairs(b.column(b.schema.get_field_index(sp)))
         return [pa.array([keep(t.encode(), merged(s)).decode("utf-8", "ignore") if t and s else t for t, s in zip(texts, spans)], pa.string())]
 
     return _map(both, [T.StructField("text", T.StringType())], fn).select(*docs.columns)
@@ -435,4 +512,4 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 def op9_suffix(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return digests(table(spark, sf_dir, "documents"))
+    return digests(table(spark, sf_dir, "documents"), LENGTH, PASSAGE)
