@@ -23,11 +23,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that a string repeated elsewhere covers; n_chars is counted anew."""
+    """All documents, without the bytes covered by a string of suffix.PASSAGE bytes that repeats elsewhere (the length is
+    for passages of over 50 words); n_chars is counted anew."""
     from pyspark.sql import functions as F
 
     small_batches(spark)
-    out = suffix.dedup(docs)
+    out = suffix.dedup(docs, suffix.PASSAGE)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
