@@ -50,6 +50,14 @@ def test_targets_and_draws(spark):
     assert mixing.drawn(df.limit(0)).count() == 0
 
 
+def test_any_other_columns_stay(spark):
+    names = ["_key", "_copy", "copies", "size", "source_size", "target", "key", "row", "col"]
+    df = spark.createDataFrame([r[:3] for r in ROWS], "doc_id long, text string, source string").selectExpr("*", *[f"{i} as {n}" for i, n in enumerate(names)])
+    got = mixing.mix(df)
+    assert got.columns == df.columns and {tuple(r)[3:] for r in got.collect()} == {tuple(range(len(names)))}
+    assert {"_key", "_copy", "row"} <= set(mixing.drawn(df).columns)
+
+
 def test_sql_gives_the_same(spark):
     df = spark.createDataFrame(ROWS, "doc_id long, text string, source string, target string")
     con = duckdb.connect()

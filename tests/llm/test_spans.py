@@ -59,6 +59,14 @@ def test_documents_and_odd_ids(spark):
     assert sorted((str(r.doc_id), r.text) for r in spans.dedup(odd).collect()) == [("5", p), ("5", p), ("6", ""), ("None", p)]
 
 
+def test_shared_ids_and_clashing_columns(spark):
+    p = "One two three four five six. Seven eight nine ten eleven twelve."
+    z = "Another text that no other row has at all. It stays as it is, whatever its number."
+    df = spark.createDataFrame([(1, p, 1, 2, 3, 4), (5, p, 1, 2, 3, 4), (5, z, 1, 2, 3, 4)], "doc_id long, text string, one int, two int, runs int, n_removed int").selectExpr("*", "7 as _n", "8 as _d", "9 as _gone")
+    got = {(r.doc_id, r.text): tuple(r)[2:] for r in spans.dedup(df).collect()}
+    assert got == {(1, p): (1, 2, 3, 4, 7, 8, 9), (5, ""): (1, 2, 3, 4, 7, 8, 9), (5, z): (1, 2, 3, 4, 7, 8, 9)}
+
+
 def query(spark, folder, rows):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
     return {r.doc_id: r.text for r in spans.op6_spans(spark, str(folder)).collect()}

@@ -47,6 +47,36 @@ def test_cut_off_leading_garbage_and_missing_bytes(gz):
     assert list(warc.salvage(b"")) == []
 
 
+def test_members_of_several_records_and_mixed_archives():
+    pay, recs = made(6)
+    bad = bytearray(recs[1])
+    bad[-6] ^= 1
+    several = warc.gzip_member(recs[0] + bytes(bad) + recs[2])
+    ids = lambda data: [r[2]["page_id"] for r in warc.salvage(data) if r[0] == "record"]
+    gaps = lambda data: [r[1:3] for r in warc.salvage(data) if r[0] == "gap"]
+    assert ids(several) == [0, 2] and gaps(several) == [(0, len(recs[1]))]
+    whole = warc.gzip_member(b"".join(recs))
+    for at in range(len(whole) // 2, len(whole) - 1, 7):  # one gzip stream that breaks off: what came before is kept
+        got = ids(whole[:at])
+        assert got == list(range(len(got))) and gaps(whole[:at]) == [(0, at)]
+    assert len(ids(whole[: len(whole) - 12])) >= 4
+    mixed = recs[0] + warc.gzip_member(recs[1]) + bytes(bad) + warc.gzip_member(recs[2]) + recs[3]
+    assert ids(mixed) == [0, 1, 2, 3] and len(gaps(mixed)) == 1
+
+
+def test_damage_is_an_error_where_all_records_are_wanted(spark):
+    from tsumugi.llm.common import get_file, put_file
+
+    df = spark.createDataFrame([(i, "u", "<p>" + "x" * i) for i in range(30)], "page_id long, url string, html string")
+    m = warc.write(df, new_folder(spark, "t"))
+    assert warc.read(m, whole=True).count() == 30
+    file = m.first().file
+    put_file(file, get_file(file)[:-9])
+    assert warc.read(m).filter("kind = 'gap'").count() == 1
+    with pytest.raises(Exception, match="was written with"):
+        warc.read(m, whole=True).count()
+
+
 def test_write_read(spark):
     big, small = "x" * 120, "y" * 99
     rows = [(5, "u", big), (3, "u", big), (3, "u", big), (9, None, big), (1, "u", small), (2, "u", small), (7, "u", None), (8, "u", ""), (11, "a b", "é" * 60), (12, "a\nb", "é" * 60)]

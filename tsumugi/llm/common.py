@@ -101,14 +101,14 @@ def put_file(uri: str, data: bytes) -> None:
     where, path = filesystem(uri)
     where.create_dir(os.path.dirname(path), recursive=True)
     part = f"{path}.{uuid.uuid4().hex[:8]}.part"
-    with where.open_output_stream(part) as out:
+    with where.open_output_stream(part, compression=None) as out:
         out.write(data)
     where.move(part, path)
 
 
 def get_file(uri: str) -> bytes:
     where, path = filesystem(uri)
-    with where.open_input_stream(path) as src:
+    with where.open_input_stream(path, compression=None) as src:
         return src.read()
 
 

@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, written
+from .common import free, small_batches, table, written
 from .graph import components
 
 SHINGLE = 4
@@ -206,12 +206,13 @@ def near(docs: DataFrame, max_bits: int = MAX_BITS, hot: int = HOT) -> DataFrame
 
 def dedup(docs: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of each component: the least by doc_id, nulls last, then by hash of the text; of rows with both equal, one."""
+    one, two, own = free(docs, "one", "two", "own")
     fps = written(fingerprints(docs, hashed=True), "fingerprints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")
-    keep = fps.join(linked(fps, max_bits), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias("_d"), F.col("first.th").alias("_k"))
-    rows = docs.withColumn("_t", F.xxhash64("text"))
-    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_k")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "_t"]).select(*docs.columns)
+    keep = fps.join(linked(fps, max_bits), "fp").groupBy("root").agg(first).select(F.col("first.doc_id").alias(one), F.col("first.th").alias(two))
+    rows = docs.withColumn(own, F.xxhash64("text"))
+    rows = rows.join(keep, F.col("doc_id").cast("long").eqNullSafe(F.col(one)) & (F.col(own) == F.col(two)), "left_semi")
+    return rows.dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

@@ -10,9 +10,10 @@ doc_id and place, is removed; with `whole`, white space goes too where no senten
 
 Partial minima precede the first shuffle, so a span in a third of all documents is one row per task; the join back with
 its occurrences is split by the skew join. Null and empty texts have no sentences, and texts without a word no span:
-they stay as they are. Rows that share a doc_id share their removals, by place, and a span at the same place of such
-rows counts as one occurrence; rows without doc_id are kept whole. Other columns pass through `dedup`. White space
-between sentences stays with the sentence before.
+they stay as they are. Rows that share doc_id and text are one document: they stay or go together. Rows that share only
+the doc_id are documents of their own, in the order of a hash of their texts. Rows without doc_id are kept whole and
+remove nothing. Other columns pass through `dedup`, whatever their names. White space between sentences stays with the
+sentence before.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches, table, written
+from .common import free, small_batches, table, written
 
 MIN_SENTENCES = 2
 MIN_WORDS = 12
@@ -92,63 +93,64 @@ def whole_spans(parts: list[str]) -> list[tuple[int, int, bytes]]:
 
 
 def occurrences(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """h1, h2, doc_id, pos, n of every span."""
+    """h1, h2, doc_id, th (a hash of the text), pos, n of every span."""
     import pyarrow as pa
 
     def run(batches):
         for b in batches:
             rows, ids = [], []
-            for k, t in enumerate(b.column(1).to_pylist()):
+            for k, t in enumerate(b.column(2).to_pylist()):
                 got = (whole_spans if whole else spans)(sentences(t))
                 rows += got
                 ids.append(np.full(len(got), k))
             if rows:
                 pos, n, h = zip(*rows)
-                h = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(pa.array(np.concatenate(ids))), pa.array(pos, pa.int32()), pa.array(n, pa.int32())], names=["h1", "h2", "doc_id", "pos", "n"])
+                h, take = np.frombuffer(b"".join(h), np.int64).reshape(-1, 2), pa.array(np.concatenate(ids))
+                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(take), b.column(1).take(take), pa.array(pos, pa.int32()), pa.array(n, pa.int32())], names=["h1", "h2", "doc_id", "th", "pos", "n"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, pos int, n int")
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInArrow(run, "h1 long, h2 long, doc_id long, th long, pos int, n int")
 
 
 def covered(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, gone array<struct<pos,n>>: runs of sentences to remove, of documents that have any."""
+    """doc_id, th, gone array<struct<pos,n>>: runs of sentences to remove, of documents that have any."""
     occ = written(occurrences(docs, whole), "spans")
-    first = occ.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max(F.struct("doc_id", "pos")).alias("last"))
+    place = F.struct("doc_id", "th", "pos")
+    first = occ.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     first = written(first.filter("first <> last").select("h1", "h2", "first"), "repeated")
-    later = occ.join(first, ["h1", "h2"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("pos") != F.col("first.pos")))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
+    later = occ.join(first, ["h1", "h2"]).filter(place != F.col("first"))
+    return later.groupBy("doc_id", "th").agg(F.collect_set(F.struct("pos", "n")).alias("gone"))
 
 
-def _strip(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs with kept text, n_sentences, n_removed."""
+def _strip(docs: DataFrame, n: str, m: str, whole: bool = False) -> DataFrame:
+    """docs with kept text; columns n and m: the text's sentences and those removed."""
     import pyarrow as pa
 
     from .bpe import _map
 
-    gone = covered(docs, whole).select(F.col("doc_id").alias("_d"), F.col("gone").alias("_gone"))
-    both = docs.join(gone, F.col("doc_id").cast("long") == F.col("_d"), "left").drop("_d")
+    one, two, runs = free(docs, "one", "two", "runs")
+    gone = covered(docs, whole).select(F.col("doc_id").alias(one), F.col("th").alias(two), F.col("gone").alias(runs))
+    both = docs.withColumn(two, F.xxhash64("text")).join(gone.withColumnRenamed(two, two + "_"), (F.col("doc_id").cast("long") == F.col(one)) & (F.col(two) == F.col(two + "_")), "left").drop(one, two, two + "_")
 
     def fn(b):
         rows = []
-        for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index("_gone")).to_pylist()):
+        for t, g in zip(b.column(b.schema.get_field_index("text")).to_pylist(), b.column(b.schema.get_field_index(runs)).to_pylist()):
             parts = sentences(t or "")
             out = {i for s in g or [] for i in range(s["pos"], s["pos"] + s["n"])}
             if whole and out and all(i in out or not p.split() for i, p in enumerate(parts)):
                 out = set(range(len(parts)))
-            gone_n = sum(i < len(parts) for i in out)
-            rows.append((t if not gone_n else "".join([p for i, p in enumerate(parts) if i not in out]), len(parts), gone_n))
+            rows.append((t if not out else "".join([p for i, p in enumerate(parts) if i not in out]), len(parts), len(out)))
         cols = list(zip(*rows)) if rows else [()] * 3
         return [pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.int64(), pa.int64()))]
 
-    return _map(both, [T.StructField("text", T.StringType()), T.StructField("_n", T.LongType()), T.StructField("_m", T.LongType())], fn)
+    return _map(both, [T.StructField("text", T.StringType()), T.StructField(n, T.LongType()), T.StructField(m, T.LongType())], fn)
 
 
 def dedup(docs: DataFrame, whole: bool = False) -> DataFrame:
-    return _strip(docs, whole).select(*docs.columns)
+    return _strip(docs, *free(docs, "n_sentences", "n_removed"), whole).select(*docs.columns)
 
 
 def op6_spans(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    got = _strip(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), whole=True)
-    return got.select("doc_id", F.col("_n").alias("n_sentences"), F.col("_m").alias("n_removed"), "text")
+    got = _strip(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), "n_sentences", "n_removed", whole=True)
+    return got.select("doc_id", "n_sentences", "n_removed", "text")

@@ -3,8 +3,10 @@
 `write` makes archives of one gzip member per record: `response` records that hold an HTTP response with the payload, and
 `revisit` records for payloads of 100 bytes or more that an earlier page has. `salvage` reads an archive's bytes, gzip or
 plain. A record is checked in full: member CRC, version line, header fields, block length, payload length and digest.
-After a failed check it searches for the next valid member (gzip) or version line (plain), goes on from there, and logs
-the bytes between as a quarantined gap; no record after the damage is lost.
+After a failed check it searches for the next valid member or version line, in the archive and within members that hold
+several records, goes on from there, and logs the bytes between as a quarantined gap; no record after the damage is
+lost, nor are whole records before it in a member that breaks off. `op2_warc` reads archives written a moment ago: a gap
+or a number of records other than the manifest's is an error there, not a page less.
 
 Of records with equal payloads of at least 100 bytes that with the smallest page_id is the response; rows that repeat
 this page_id are responses too. Null html is an empty payload, and empty payloads are always responses. Null urls
@@ -96,50 +98,78 @@ def parse(data: bytes, at: int = 0) -> tuple[dict, int]:
     return {"record_type": kind, "payload": block}, body + n + 4
 
 
-def member(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at `at` and where it ends."""
+def member(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member that begins at `at` decompresses to, where it ends, and why it is damaged, if it is; then the
+    bytes are those before the damage."""
     z, out, pos, view = zlib.decompressobj(31), [], at, memoryview(data)
     try:
         while not z.eof:
             if pos >= len(data):
-                raise ValueError("member cut off")
-            out.append(z.decompress(view[pos : pos + 65536]))
-            pos += 65536
+                return b"".join(out), pos, "member cut off"
+            out.append(z.decompress(view[pos : pos + 4096]))
+            pos += 4096
     except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    return b"".join(out), min(pos, len(data)) - len(z.unused_data)
+        return b"".join(out), pos, f"member: {e}"
+    return b"".join(out), min(pos, len(data)) - len(z.unused_data), ""
+
+
+def inside(inner: bytes, damaged: bool) -> tuple[list[dict], list[tuple[int, int, str]]]:
+    """(records, gaps) of a decompressed member: after a failed check the next version line is looked for. Of a damaged
+    member only records with another one's version line behind them count."""
+    got, gaps, k, bad, why = [], [], 0, None, ""
+    while k < len(inner):
+        try:
+            rec, end = parse(inner, k)
+            if damaged and not VERSION.match(inner, end):
+                raise ValueError("member damaged")
+            if bad is not None:
+                gaps.append((bad, k - bad, why))
+                bad = None
+            got.append(rec)
+            k = end
+        except ValueError as e:
+            if bad is None:
+                bad, why = k, str(e)
+            m = VERSION.search(inner, k + 1)
+            k = m.start() if m else len(inner)
+    if bad is not None:
+        gaps.append((bad, len(inner) - bad, why))
+    return got, gaps
 
 
 def salvage(data: bytes):
-    """Yields ("record", offset, fields) and ("gap", offset, length, reason) for an archive's bytes, in order."""
+    """Yields ("record", offset, fields) and ("gap", offset, length, reason) for an archive's bytes, in order. A gap within
+    a whole member that holds good records too has the member's offset, its own length there, and says so."""
     at, bad, why = 0, None, ""
-    start = re.compile(re.escape(GZ) + b"|" + VERSION.pattern)  # until a first record says which kind this is
+    start = re.compile(re.escape(GZ) + b"|" + VERSION.pattern)  # an archive may mix both
     while at < len(data):
-        gz = data[at : at + 2] == GZ[:2] if start.pattern != VERSION.pattern else False
-        try:
-            if gz:
-                inner, end = member(data, at)
-                got, k = [], 0
-                while k < len(inner):
-                    rec, k = parse(inner, k)
-                    got.append(rec)
-                if not got:
-                    raise ValueError("empty member")
-            else:
+        got: list[dict] = []
+        inner_gaps: list[tuple[int, int, str]] = []
+        failed = ""
+        if data[at : at + 2] == GZ[:2]:
+            inner, end, failed = member(data, at)
+            got, inner_gaps = inside(inner, bool(failed))
+            if not got and not failed:
+                failed = inner_gaps[0][2] if inner_gaps else "empty member"
+        else:
+            try:
                 rec, end = parse(data, at)
                 got = [rec]
-            start = re.compile(re.escape(GZ)) if gz else VERSION
-        except ValueError as e:
-            if bad is None:
-                bad, why = at, str(e)
-            m = start.search(data, at + 1)
-            at = m.start() if m else len(data)
-            continue
-        if bad is not None:
+            except ValueError as e:
+                failed = str(e)
+        if bad is not None and (got or not failed):
             yield "gap", bad, at - bad, why
             bad = None
         for rec in got:
             yield "record", at, rec
+        if failed:
+            if bad is None:
+                bad, why = at, failed
+            m = start.search(data, at + 1)
+            at = m.start() if m else len(data)
+            continue
+        for k, n, reason in inner_gaps:
+            yield "gap", at, n, f"in a member, from byte {k} of what it decompresses to: {reason}"
         at = end
     if bad is not None:
         yield "gap", bad, len(data) - bad, why
@@ -186,30 +216,33 @@ def write(pages: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES) -> Dat
     return written(plan(pages).mapInArrow(run, "file string, n_records long, n_bytes long"), "archives")
 
 
-def read(manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame, whole: bool = False) -> DataFrame:
     """Every record and gap of the archives: file, offset, kind, page_id, url, payload_bytes, payload_digest,
-    record_type, refers_to, gap_bytes, reason. Payloads stay out; `salvage` yields them."""
+    record_type, refers_to, gap_bytes, reason. Payloads stay out; `salvage` yields them. With `whole`, an archive with a
+    gap or without all of the manifest's records is refused."""
     import pyarrow as pa
 
     fields = [("file", pa.string()), ("offset", pa.int64()), ("kind", pa.string()), ("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("gap_bytes", pa.int64()), ("reason", pa.string())]
 
     def run(batches):
         for b in batches:
-            for file in b.column(0).to_pylist():
+            for file, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows = []
                 for kind, at, *rest in salvage(get_file(file)):
                     r = rest[0] if kind == "record" else {"gap_bytes": rest[0], "reason": rest[1]}
                     rows.append({"file": file, "offset": at, "kind": kind} | {k: r.get(k) for k, _ in fields[3:]})
+                if whole and [r["kind"] for r in rows] != ["record"] * n:
+                    raise ValueError(f"{file} was written with {n} records; read: {sum(r['kind'] == 'record' for r in rows)}, gaps: {[r['reason'] for r in rows if r['kind'] == 'gap']}")
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in fields], names=[k for k, _ in fields])
 
     spread = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.select("file").repartition(spread, "file").mapInArrow(run, "file string, offset long, kind string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_bytes long, reason string")
+    return manifest.select("file", "n_records").repartition(spread, "file").mapInArrow(run, "file string, offset long, kind string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, gap_bytes long, reason string")
 
 
 def op2_warc(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    got = read(write(table(spark, sf_dir, "pages"), new_folder(spark, "warc")))
-    return got.filter("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    got = read(write(table(spark, sf_dir, "pages"), new_folder(spark, "warc")), whole=True)
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP2_SQL = """
