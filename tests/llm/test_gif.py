@@ -90,3 +90,35 @@ def test_columns(spark):
     bad = spark.createDataFrame([(1, b"GIF89a"), (2, gif.encode(bytes(64))[:-3]), (3, None), (4, b"")], "doc_id long, media binary")
     err = {r.doc_id: r.error for r in gif.frames(bad, "doc_id").collect() if r.error}
     assert set(err) == {1, 2, 4}
+
+
+def test_huge_canvas_is_an_error(spark):
+    import struct
+
+    whole = gif.encode(bytes(64))
+    huge = whole[:6] + struct.pack("<HH", 65535, 65535) + whole[10:]
+    df = spark.createDataFrame([(1, bytearray(huge)), (2, bytearray(whole)), (3, None)], "k long, media binary")
+    got = sorted((r.k, r.frame_no, r.error) for r in gif.frames(df, "k").collect())
+    assert [g[:2] for g in got] == [(1, 0), (2, 0)] and "65535" in got[0][2] and got[1][2] is None
+
+
+def test_frames_of_documents(spark, tmp_path):
+    import hashlib
+
+    texts = [None, "", "abc", "é" * 5000, "\x00\xff" * 200_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.frame_no): r for r in gif.gif_frames(spark, str(tmp_path)).collect()}
+    want = 0
+    for d, t in enumerate(texts):
+        payload = gif.padded(t)[1]
+        for k, at in enumerate(range(0, len(payload), 64 * gif.FRAME_ROWS)):
+            part = payload[at : at + 64 * gif.FRAME_ROWS]
+            r, want = got[d, k], want + 1
+            assert (r.at_ms, r.delay_ms, r.width, r.height) == (40 * k, 40, 64, min(gif.FRAME_ROWS, len(payload) // 64))
+            if len(part) // 64 == r.height:
+                cells = [0] * 64
+                for x in part:
+                    cells[(x >> 6) * 21] += 1
+                assert r.hist == ",".join(map(str, cells))
+                assert r.rgb_sha256 == hashlib.sha256(bytes(x for x in part for _ in range(3))).hexdigest()
+    assert len(got) == want

@@ -7,7 +7,7 @@ depend only on the number of codes since the last clear code, so bits are packed
 string table is a loop.
 
 A null media cell gives no frames; an empty or damaged one gives a row with `error` set and null frame columns. A null
-or empty payload is padded to one row of 64 zero bytes. Payloads of any length are stored: beyond FRAME_ROWS rows
+or empty payload is padded to one row of 64 zero bytes. Canvases of more than MOST_PIXELS are refused with an error. Payloads of any length are stored: beyond FRAME_ROWS rows
 another frame begins. Equal payloads give equal files. Repeated rows are kept. Other columns are dropped by `frames` and
 `op3_gif`, kept by `store`.
 """
@@ -27,6 +27,7 @@ from .common import small_batches, table
 WIDTH = 64
 FRAME_ROWS = 4096
 DELAY = 4  # hundredths of a second
+MOST_PIXELS = 1 << 26  # of a canvas or a frame; a header can claim 2**32
 
 
 def _widths(bits: int, n: int) -> np.ndarray:
@@ -200,6 +201,8 @@ def decode(data: bytes):
 
     if flags & 0x80:
         palette = colours(flags)
+    if h * w > MOST_PIXELS:
+        raise ValueError(f"a canvas of {w} x {h}")
     canvas = np.zeros((h, w, 3), np.uint8)
     disposal, delay, clear_index = 0, 0, -1
     while True:
@@ -221,6 +224,8 @@ def decode(data: bytes):
             raise ValueError(f"unknown block {kind}")
         left, top, fw, fh, f = struct.unpack_from("<HHHHB", data, pos)
         pos += 9
+        if fw * fh > MOST_PIXELS:
+            raise ValueError(f"a frame of {fw} x {fh}")
         own = colours(f) if f & 0x80 else palette
         if own is None:
             raise ValueError("no palette")
@@ -330,6 +335,14 @@ def payloads(df: DataFrame) -> DataFrame:
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
+def gif_frames(spark, sf_dir: str) -> DataFrame:
+    """The timed frames of the documents' GIFs: doc_id, frame_no, at_ms, delay_ms, width, height, a digest of the canvas
+    and its colour histogram."""
+    small_batches(spark, 64)
+    media = store(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")).select("doc_id", "media")
+    return frames(media, "doc_id").select("doc_id", "frame_no", "at_ms", "delay_ms", "width", "height", F.sha2("rgb", 256).alias("rgb_sha256"), F.array_join("hist", ",").alias("hist"))
+
+
 def op3_gif(spark, sf_dir: str) -> DataFrame:
     small_batches(spark)
     return payloads(store(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")))

@@ -19,6 +19,7 @@ def queries() -> dict:
         "op8_rules": rules.op8_rules,
         "op9_suffix": suffix.op9_suffix,
         "op10_ordinal": ordinal.op10_ordinal,
+        "gif_frames": gif.gif_frames,
         "pipeline": corpus_pipeline.run,
     }
 

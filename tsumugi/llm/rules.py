@@ -3,10 +3,16 @@
 A base check (too few words, too many repeated windows) and a set of metrics on which junk scores high. For each stratum
 (language) and metric a cutoff is chosen on labelled holdout rows: over a fixed grid, from the laxest cutoff down, the
 hypothesis "this cutoff rejects more than `risk` of good documents" is tested with the exact binomial tail; the last
-cutoff before the first hypothesis that stands is taken. Testing in a fixed order needs no correction within a stratum
-and metric; over strata and metrics the level is divided by their number (Bonferroni). With probability 1 - level, no
-chosen cutoff rejects more than `risk` of its stratum's good documents. A stratum with too few labels to show this gets
-no cutoff, and its documents pass.
+cutoff before the first hypothesis that stands is taken. Such a chain in fixed order needs no correction of its own; over
+chains the level is divided by their number, and a chain whose hypotheses have all fallen passes its share on to the
+others, in equal parts (Holm's rule, for chains). With probability 1 - level, no chosen cutoff rejects more than `risk`
+of its stratum's good documents. RISK = 0.02 is two good documents in a hundred for a rule.
+
+Strata with too few good labels for any cutoff (fewer than log(share of the level) / log(1 - risk): 316 with 30 chains)
+are judged as one, POOLED, with chains of its own; which these are depends on numbers of labels alone. Its guarantee is
+for the pooled strata together. If they have too few labels even so, the labels of all strata make up the pool, and what
+is guaranteed holds for all documents together. Languages without labels take the pooled cutoffs too. Where all labels
+are too few, there is no cutoff, and documents pass.
 
 All labelled rows and all documents count. Text is read once, into a narrow written table of counts; histograms are
 summed before the shuffle, and the tests run on one row per stratum, metric and grid cell. Null text counts as empty: no
@@ -23,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table, written
 
-RISK = 0.004
+RISK = 0.02
 LEVEL = 0.05
 SYMBOLS = b"#*$%&|<>"
 #: metric: (numerator, denominator) over the columns of `counts`, and the step of its grid of cutoffs from 0 to 1
@@ -118,32 +124,75 @@ def lowest_safe(cells: dict[int, int], risk: float, level: float) -> int | None:
     return best
 
 
+def chain(cells: dict[int, int], risk: float, level: float) -> list[tuple[int, float]]:
+    """(cutoff cell, log of the level that cutting there needs), from the highest cell down, as far as `level` could ever
+    go; what a cutoff needs includes what those before it need."""
+    n, above, most, out = sum(cells.values()), 0, -math.inf, []
+    for c in sorted(cells, reverse=True):
+        most = max(most, log_tail(n, above, risk))
+        out.append((c, most))
+        if most > math.log(level):
+            break
+        above += cells[c]
+    return out
+
+
+def least_labels(chains: int, risk: float, level: float) -> int:
+    """Good labels that the laxest cutoff needs with a `chains`-th part of the level."""
+    return math.ceil(math.log(level / chains) / math.log1p(-risk))
+
+
+POOLED = "pooled"
+
+
 def cutoffs(stats: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL) -> DataFrame:
-    """stratum, metric, cutoff (a document with a metric above it is rejected), n_good. `stats` has the columns of
-    `counts`; labels (doc_id, quality, toxic)."""
+    """stratum, pooled (true: the one for all other strata), metric, cutoff (a document with a metric above it is
+    rejected; null: none), n_good. `stats` has the columns of `counts`; labels (doc_id, quality, toxic)."""
     good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("long"))
     cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.ceil(metric(m) / step).cast("int").alias("cell"), F.lit(step).alias("step")) for m, (_, _, step) in METRICS.items()])
     hist = stats.filter(~base_failed()).join(good, "doc_id").select(F.col("lang").alias("stratum"), F.explode(cells).alias("c")).groupBy("stratum", "c.metric", "c.cell", "c.step").agg(F.count("*").alias("n"))
     hist = written(hist, "histograms")
-    tests = max(1, hist.select("stratum", "metric").distinct().count())
-
-    def pick(pdf):
+    per = hist.groupBy("stratum").agg((F.sum("n") / len(METRICS)).alias("good"))
+    least = least_labels(max(1, (per.count() + 1) * len(METRICS)), risk, level)
+    small = per.filter(F.col("good") < least).select(F.col("stratum").alias("s"))
+    both = hist.join(small, F.col("stratum").eqNullSafe(F.col("s")), "left_anti").withColumn("pooled", F.lit(False))
+    own = per.filter(F.col("good") < least).agg(F.coalesce(F.sum("good"), F.lit(0))).first()[0]
+    pool = hist.join(small, F.col("stratum").eqNullSafe(F.col("s")), "left_semi") if own == 0 or own >= least else hist
+    pool = pool.groupBy("metric", "cell", "step").agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("stratum"), "metric", "cell", "step", "n", F.lit(True).alias("pooled"))
+    schema = "stratum string, pooled boolean, metric string, cutoff double, needs double, last boolean, n_good long"
+
+    def run(pdf):
         import pandas as pd
 
-        best = lowest_safe(dict(zip(pdf["cell"].tolist(), pdf["n"].tolist())), risk, level / tests)
-        first = pdf.iloc[0]
-        return pd.DataFrame({"stratum": [first["stratum"]], "metric": [first["metric"]], "cutoff": [None if best is None else best * first["step"]], "n_good": [int(pdf["n"].sum())]})
-
-    return hist.groupBy("stratum", "metric").applyInPandas(pick, "stratum string, metric string, cutoff double, n_good long")
+        first, steps = pdf.iloc[0], chain(dict(zip(pdf["cell"].tolist(), pdf["n"].tolist())), risk, level)
+        cut = [c * first["step"] for c, _ in steps]
+        last = len(steps) == len(pdf)
+        return pd.DataFrame({"stratum": first["stratum"], "pooled": first["pooled"], "metric": first["metric"], "cutoff": cut, "needs": [x for _, x in steps], "last": [last and i == len(steps) - 1 for i in range(len(steps))], "n_good": int(pdf["n"].sum())})
+
+    steps = written(both.unionByName(pool).groupBy("stratum", "pooled", "metric").applyInPandas(run, schema), "chains")
+    chains = steps.select("stratum", "pooled", "metric").distinct().count()
+    left, fallen = chains, -1
+    while left:  # a chain that has fallen as a whole passes its share on; a round is one number
+        share = math.log(level / left)
+        now = steps.filter(F.col("last") & (F.col("needs") <= share)).count()
+        if now == fallen or now >= chains:
+            break
+        fallen, left = now, chains - now
+    share = math.log(level / left) if left else 0.0
+    return steps.groupBy("stratum", "pooled", "metric").agg(F.min(F.when(F.col("needs") <= share, F.col("cutoff"))).alias("cutoff"), F.max("n_good").alias("n_good"))
 
 
 def judged(stats: DataFrame, cuts: DataFrame) -> DataFrame:
     """stats with base_failed, failed (metrics above their stratum's cutoff) and kept."""
-    wide = written(cuts.groupBy("stratum").pivot("metric", list(METRICS)).agg(F.first("cutoff")), "cutoffs")
-    wide = wide.select(F.col("stratum").alias("_s"), *[F.col(m).alias(f"_{m}") for m in METRICS])
-    failed = F.array_compact(F.array(*[F.when(metric(m) > F.col(f"_{m}") + 1e-9, F.lit(m)) for m in METRICS]))
-    out = stats.join(wide, F.col("lang").eqNullSafe(F.col("_s")), "left")
-    return out.withColumn("base_failed", base_failed()).withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).drop("_s", *[f"_{m}" for m in METRICS])
+    cuts = written(cuts, "cutoffs")
+    wide = lambda rows, mark: rows.groupBy("stratum").pivot("metric", list(METRICS)).agg(F.first("cutoff")).select(F.col("stratum").alias(f"{mark}s"), *[F.col(m).alias(f"{mark}{m}") for m in METRICS])
+    own, pool = wide(cuts.filter("NOT pooled"), "_"), wide(cuts.filter("pooled"), "__").withColumn("__", F.lit(True))
+    out = stats.join(own.withColumn("_", F.lit(True)), F.col("lang").eqNullSafe(F.col("_s")), "left")
+    out = out.join(F.broadcast(pool), F.col("_").isNull() & F.col("__"), "left")  # one row at most
+    cutoff = {m: F.when(F.col("_"), F.col(f"_{m}")).otherwise(F.col(f"__{m}")) for m in METRICS}
+    failed = F.array_compact(F.array(*[F.when(metric(m) > cutoff[m] + 1e-9, F.lit(m)) for m in METRICS]))
+    out = out.withColumn("base_failed", base_failed()).withColumn("failed", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    return out.select(*stats.columns, "base_failed", "failed", "kept")
 
 
 def op8_rules(spark, sf_dir: str) -> DataFrame:
