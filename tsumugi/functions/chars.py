@@ -7,7 +7,7 @@ BIT = {name: 1 << i for i, name in enumerate(NAMES)}
 #: code point ranges by category, hexadecimal; a code point has the categories of all ranges that it is in
 _TABLE = {
     "SPACE": "9-b d 20",
-    "SYMBOL": "21-2f 3a-40 5b-60 7b-7e a1-bf d7 f7 ff01-ff0f ff1a-ff20 ff3b-ff40 ff5b-ff65 ffe0-ffef 2000-206f 20a0-214f 2190-23ff 2460-24ff 2501-26fe 2701-2bff 3200-32fe 3300-33ff 3000-303f fe30-fe4f fe50-fe6b",
+    "SYMBOL": "21-2f 3a-40 5b-60 7b-7e a1-bf d7 f7 ff01-ff0f ff1a-ff20 ff3b-ff40 ff5b-ff65 ffe0-ffef 2000-206f 20a0-214f 2190-23ff 2460-24ff 2501-26fe 2700-297f 2a00-2bff 3200-32fe 3300-33ff 3000-303f fe30-fe4f fe50-fe6b",
     "NUMERIC": "30-39 ff10-ff19 2070-209f 2150-218f",
     "ALPHA": "41-5a 61-7a c0-d6 d8-f6 f8-236 1e00-1ef9 ff21-ff3a ff41-ff5a",
     "CYRILLIC": "400-4f9 500-50f",

@@ -1,11 +1,18 @@
-"""Morphemes of a text column: one narrow map over Arrow batches, no shuffle; a tokenizer is built once per worker."""
+"""Morphemes of a text column: one narrow map over Arrow batches, no shuffle; a tokenizer is built once per worker.
+
+Where runs of one category are independent of each other (`Tokenizer.by_run`), a text of plain characters is cut into
+runs by one pattern, each distinct run is analysed once per worker, and columns are gathered from the runs' finished
+morphemes by index. All other texts go through the lattice line by line.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Callable, Sequence
+from itertools import chain
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .tokenize import NEWLINE, NoMorpheme, Tokenizer
@@ -15,6 +22,7 @@ FIELDS = [
     ("line_no", "int"), ("i", "int"), ("begin", "int"), ("end", "int"), ("surface", "string"), ("pos", "string"), ("normalized_form", "string"),
     ("dictionary_form", "string"), ("reading_form", "string"), ("is_oov", "boolean"), ("dictionary_id", "int"), ("word_id", "int"), ("error", "string"),
 ]
+TEXTS = 256  # bounds what is held for one output batch
 
 
 def lines_of(text: str) -> list[str]:
@@ -23,55 +31,223 @@ def lines_of(text: str) -> list[str]:
     return out[:-1] if out and not out[-1] else out
 
 
-def morphemes(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "text", mode: str = "C", strict: bool = False, columns: list[str] | None = None) -> DataFrame:
-    """key, then `columns` of FIELDS (all by default), a row per morpheme of each line. A line that can't be cut raises
-    if strict; else it gives one row with its error. Null texts give no rows. `make` is called once per worker; columns
-    that aren't asked for aren't built."""
+class Runs:
+    """The morphemes of runs, once per distinct run. Number 0 is a line's end."""
+
+    #: of a morpheme within its run, in the order of FIELDS from `begin` on
+    COLUMNS = [n for n, _ in FIELDS[2:12]]
+
+    def __init__(self, t: Tokenizer, most: int = 300_000):
+        self.t, self.most = t, most
+        by_mask: dict[int, list[str]] = {}
+        odd = set("".join([*(t.norm.replace if t.norm else ()), *t.marks]))
+        for c in map(chr, range(0x250)):
+            text, places = t.text(c)
+            m = t.cats.mask(c)
+            if c not in "\r\n" and len(text) == 1 and places == [0, 1] and t.cats.mask(text) == m and m & (m - 1) == 0 and c not in odd:
+                by_mask.setdefault(m, []).append(re.escape(c))
+        self.plain = re.compile("[" + "".join(chain.from_iterable(by_mask.values())) + "\r\n]*").fullmatch
+        self.cut = re.compile("\r\n|[\r\n]|" + "|".join("[" + "".join(cs) + "]+" for cs in by_mask.values())).findall
+        self.clear()
+
+    def clear(self) -> None:
+        self.number = {"\n": 0, "\r": 0, "\r\n": 0}
+        self.ends, self.length = [0, 0], [0]  # of runs: morphemes up to each, characters
+        self.rows: list[tuple] = []  # not yet in the columns
+        self.columns: list = []
+        self.lines: dict[str, str] = {}
+
+    def analysed(self, run: str) -> list[tuple]:
+        text, _ = self.t.text(run)
+        return [
+            (n.begin, n.end, run[n.begin : n.end], ",".join(n.pos), n.normalized, n.form, n.reading, n.oov, -1 if n.wid is None else n.wid[0], -1 if n.wid is None else n.wid[1])
+            for n in self.t.best(len(text), self.t.lattice(text)[2])
+        ]
+
+    def numbers(self, text: str) -> list[int]:
+        """Numbers of the text's runs; NoMorpheme if one of them can't be cut."""
+        runs = self.cut(text)
+        found = list(map(self.number.get, runs))
+        if None in found:
+            for r in {r for r, k in zip(runs, found) if k is None}:
+                rows = self.analysed(r)
+                self.number[r] = len(self.length)
+                self.rows += rows
+                self.ends.append(self.ends[-1] + len(rows))
+                self.length.append(len(r))
+            found = list(map(self.number.__getitem__, runs))
+        return found
+
+    def gather(self, lists: list[list[int]], wanted: Sequence[str], kinds: dict):
+        """(which text each morpheme is of, the wanted columns) of texts given as numbers of runs."""
+        import pyarrow as pa
+
+        if self.rows:
+            new = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*self.rows), FIELDS[2:12])]
+            self.columns = [pa.concat_arrays([a, b]) for a, b in zip(self.columns, new)] if self.columns else new
+            self.rows = []
+        if not self.columns:
+            self.columns = [pa.array([], kinds[k]) for _, k in FIELDS[2:12]]
+        sizes = np.array(list(map(len, lists)), np.int64)
+        flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
+        ends = np.array(self.ends, np.int64)
+        n = ends[flat + 1] - ends[flat]
+        before = np.cumsum(n) - n
+        run = np.repeat(np.arange(len(flat)), n)
+        node = (ends[flat] - before)[run] + np.arange(len(run))
+        text = np.repeat(np.arange(len(lists)), sizes)
+        over = flat == 0
+        begins = np.ones(len(flat), bool)  # does a line begin with this run?
+        begins[1:] = over[:-1] | (text[1:] != text[:-1])
+        since = lambda x: x - np.maximum.accumulate(np.where(begins, x, 0)) if len(x) else x
+        own, out = {}, []
+        if "line_no" in wanted:
+            up = np.cumsum(over) - over
+            first = np.zeros(len(lists), np.int64)
+            heads = np.cumsum(sizes) - sizes
+            first[sizes > 0] = up[heads[sizes > 0]]
+            own["line_no"] = (up - first[text])[run]
+        if "i" in wanted:
+            own["i"] = np.arange(len(run)) - (before - since(before))[run]
+        if "begin" in wanted or "end" in wanted:
+            length = np.array(self.length, np.int64)[flat]
+            at = since(np.cumsum(length) - length)[run]
+            for k, name in enumerate(("begin", "end")):
+                own[name] = at + self.columns[k].to_numpy()[node]
+        take = pa.array(node)
+        for name, kind in [f for f in FIELDS if f[0] in wanted]:
+            if name in own:
+                out.append(pa.array(own[name], kinds[kind]))
+            elif name == "error":
+                out.append(pa.nulls(len(run), pa.string()))
+            else:
+                out.append(self.columns[self.COLUMNS.index(name)].take(take))
+        return text[run], out
+
+
+def _built(make) -> tuple[Tokenizer, Runs | None]:
+    if make not in _BUILT:
+        t = make()
+        _BUILT[make] = (t, Runs(t) if t.by_run and not t.rewrite else None)
+    return _BUILT[make]
+
+
+def morphemes(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "text", mode: str = "C", strict: bool = False, columns: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """key, the columns `keep` of df, then `columns` of FIELDS (all by default), a row per morpheme of each line. A line
+    that can't be cut raises if strict; else it gives one row with its error. Null texts give no rows. `make` is called
+    once per worker; columns that aren't asked for aren't built."""
     import pyarrow as pa
 
     if mode not in ("A", "B", "C"):
         raise ValueError(f"mode {mode}")
     kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
     wanted = [f for f in FIELDS if columns is None or f[0] in columns]
-    source = {"line_no": 0, "i": 1, "begin": 2, "end": 3, "surface": 4, "pos": 5, "normalized_form": 6, "dictionary_form": 7, "reading_form": 8, "is_oov": 9, "dictionary_id": 10, "word_id": 11, "error": 12}
-    pick = [source[n] for n, _ in wanted]
-    schema = T.StructType([df.schema[key], *[T.StructField(n, {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}[t]) for n, t in wanted]])
+    pick = [[n for n, _ in FIELDS].index(n) for n, _ in wanted]
+    schema = T.StructType([*[df.schema[c] for c in (key, *keep)], *[T.StructField(n, {"int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType()}[t]) for n, t in wanted]])
+    names = [f.name for f in schema.fields]
 
-    def run(batches):
-        t = _BUILT.get(make)
-        if t is None:
-            t = _BUILT[make] = make()
+    def by_line(t, texts):
+        """Rows and, for each text, how many."""
         joined: dict = {}
+        rows, counts = [], []
+        for x in texts:
+            before = len(rows)
+            for no, line in enumerate(lines_of(x or "")):
+                try:
+                    for i, m in enumerate(t.tokenize(line, mode)):
+                        p = joined.get(m[3])
+                        if p is None:
+                            p = joined[m[3]] = ",".join(m[3])
+                        rows.append((no, i, m[0], m[1], m[2], p, m[4], m[5], m[6], m[7], m[8], m[9], None))
+                except NoMorpheme as e:
+                    if strict:
+                        raise
+                    rows.append((no, None, None, None, None, None, None, None, None, None, None, None, str(e)))
+            counts.append(len(rows) - before)
+        return rows, counts
+
+    def run(batches):
+        t, runs = _built(make)
+        names_wanted = [n for n, _ in wanted]
         for b in batches:
-            for lo in range(0, b.num_rows, 256):  # bounds what is held for one output batch
-                part = b.slice(lo, 256)
-                rows, counts = [], []
-                for x in part.column(1).to_pylist():
-                    before = len(rows)
-                    for no, line in enumerate(lines_of(x or "")):
+            for lo in range(0, b.num_rows, TEXTS):
+                part = b.slice(lo, TEXTS)
+                texts = part.column(part.num_columns - 1).to_pylist()
+                plain, lists, rest = [], [], []
+                for k, x in enumerate(texts):
+                    if runs and mode == "C" and x and runs.plain(x):
                         try:
-                            for i, m in enumerate(t.tokenize(line, mode)):
-                                p = joined.get(m[3])
-                                if p is None:
-                                    p = joined[m[3]] = ",".join(m[3])
-                                rows.append((no, i, m[0], m[1], m[2], p, m[4], m[5], m[6], m[7], m[8], m[9], None))
-                        except NoMorpheme as e:
+                            lists.append(runs.numbers(x))
+                            plain.append(k)
+                            continue
+                        except NoMorpheme:
+                            pass
+                    rest.append(k)
+                if plain:
+                    of, cols = runs.gather(lists, names_wanted, kinds)
+                    take = pa.array(np.array(plain, np.int64)[of])
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(take) for i in range(part.num_columns - 1)], *cols], names=names)
+                    if len(runs.number) > runs.most:
+                        runs.clear()
+                rows, counts = by_line(t, [texts[k] for k in rest])
+                if rows:
+                    cols = list(zip(*rows))
+                    take = pa.array(np.repeat(np.array(rest, np.int64), counts))
+                    yield pa.RecordBatch.from_arrays([*[part.column(i).take(take) for i in range(part.num_columns - 1)], *[pa.array(cols[j], kinds[t_]) for j, (_, t_) in zip(pick, wanted)]], names=names)
+
+    return spread(df.select(key, *keep, text)).mapInArrow(run, schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as tasks can run at once: a small table's only row group is one task otherwise.
+    Input with more partitions, as any large one has, isn't shuffled."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
+
+
+def tsv(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "text", mode: str = "C", full: bool = False, strict: bool = True) -> DataFrame:
+    """key, line_no, text: surface, part of speech and normalised form by tabs, one morpheme a line, then EOS; with
+    `full` also dictionary form, reading, dictionary id, and (OOV) for unknown words. Every line has its row, an empty
+    one with EOS alone. A line that can't be cut raises if strict, else it is left out. Lines are whole in the map, so
+    nothing is shuffled."""
+    import pyarrow as pa
+
+    schema = T.StructType([df.schema[key], T.StructField("line_no", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def row(m) -> str:
+        parts = [m[2], m[3] if isinstance(m[3], str) else ",".join(m[3]), m[4]]
+        if full:
+            parts += [m[5], m[6], str(m[8]), *["(OOV)"] * bool(m[7])]
+        return "\t".join(parts)
+
+    def run(batches):
+        t, runs = _built(make)
+        known: dict[str, str] = {}
+
+        def lookup(r: str) -> str:
+            got = known.get(r)
+            if got is None:
+                got = known[r] = "\n".join(map(row, runs.analysed(r)))
+            return got
+
+        for b in batches:
+            for lo in range(0, b.num_rows, TEXTS):
+                part = b.slice(lo, TEXTS)
+                of, no, out = [], [], []
+                for k, x in enumerate(part.column(1).to_pylist()):
+                    plain = runs and mode == "C" and x and runs.plain(x)
+                    for i, line in enumerate(lines_of(x or "")):
+                        try:
+                            said = list(map(lookup, runs.cut(line))) if plain else list(map(row, t.tokenize(line, mode)))
+                        except NoMorpheme:
                             if strict:
                                 raise
-                            rows.append((no, None, None, None, None, None, None, None, None, None, None, None, str(e)))
-                    counts.append(len(rows) - before)
-                cols = list(zip(*rows)) if rows else [()] * len(FIELDS)
-                take = pa.array([i for i, n in enumerate(counts) for _ in range(n)], pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), *[pa.array(cols[j], kinds[t_]) for j, (_, t_) in zip(pick, wanted)]], names=[key, *[n for n, _ in wanted]])
-
-    return df.select(key, text).mapInArrow(run, schema)
-
-
-def tsv(morph: DataFrame, key: str, full: bool = False) -> DataFrame:
-    """key, line_no, text: surface, part of speech and normalised form by tabs, one morpheme a line, then EOS."""
-    parts = [F.col("surface"), F.col("pos"), F.col("normalized_form")]
-    if full:
-        parts += [F.col("dictionary_form"), F.col("reading_form"), F.col("dictionary_id").cast("string"), F.when(F.col("is_oov"), F.lit("(OOV)"))]
-    rows = morph.filter("error IS NULL").withColumn("row", F.concat_ws("\t", *parts))
-    out = rows.groupBy(key, "line_no").agg(F.array_sort(F.collect_list(F.struct("i", "row"))).alias("rows"))
-    return out.select(key, "line_no", F.concat(F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\nEOS")).alias("text"))
+                            continue
+                        of.append(k)
+                        no.append(i)
+                        out.append("\n".join([*said, "EOS"]))
+                if len(known) > 300_000:
+                    known.clear()
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(no, pa.int32()), pa.array(out, pa.string())], names=[key, "line_no", "text"])
+
+    return spread(df.select(key, text)).mapInArrow(run, schema)

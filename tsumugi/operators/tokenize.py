@@ -9,7 +9,7 @@ cost the one with the edge inserted first is taken.
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, replace
+from typing import NamedTuple
 
 from ..functions import chars as ch
 from ..functions.normalize import MARKS, Normalizer, squeeze
@@ -22,8 +22,7 @@ NUMBER = ("名詞", "数詞", "*", "*", "*", "*")
 NEWLINE = re.compile(r"\r\n|\r|\n")
 
 
-@dataclass(frozen=True)
-class Node:
+class Node(NamedTuple):
     begin: int
     end: int
     left: int
@@ -57,6 +56,8 @@ class Tokenizer:
         # where no word reaches across runs, nothing connects at a cost, and a line's characters have one category each,
         # runs are independent of each other and their paths can be remembered
         self.by_run = not self.dic.matrix and all(len(set(self.cats.masks(h))) == 1 for h in self.dic.lookup)
+        if self.by_run:  # of unknown words over one span only the cheapest, the first of equal ones, can be on a path
+            self.unk = [(*u[:4], [min(u[4], key=lambda r: r[2])]) for u in self.unk]
         self.cache: dict[str, list[Node]] = {}
         classes = self.cats.classes()
         self.runs = re.compile("|".join(f"[{_py(c)}]+" for c in classes.values()))
@@ -253,7 +254,7 @@ class Tokenizer:
 
     def nodes(self, text: str, mode: str = "C") -> list[Node]:
         """Morphemes of a normalised text, in its places."""
-        return [replace(n, begin=n.begin + k, end=n.end + k) if k else n for k, n in self._placed(text, mode)]
+        return [n._replace(begin=n.begin + k, end=n.end + k) if k else n for k, n in self._placed(text, mode)]
 
     def tokenize(self, line: str, mode: str = "C") -> list[tuple]:
         """(begin, end, surface, pos, normalised, dictionary form, reading, is_oov, dictionary id, word id), places and

@@ -56,8 +56,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
 
-def tokens(spark: SparkSession, sf_dir: str, columns=None) -> DataFrame:
-    return morphemes(documents(spark, sf_dir), latin(spark, sf_dir), "doc_id", columns=columns)
+def tokens(spark: SparkSession, sf_dir: str, columns=None, keep=()) -> DataFrame:
+    return morphemes(documents(spark, sf_dir), latin(spark, sf_dir), "doc_id", columns=columns, keep=keep)
 
 
 TOKENS = ["line_no", "i", "begin", "end", "surface", "pos", "normalized_form", "is_oov"]
@@ -166,7 +166,7 @@ def oov_candidates(spark, sf_dir):
 
 
 def morpheme_tsv(spark, sf_dir):
-    return tsv(tokens(spark, sf_dir), "doc_id")
+    return tsv(documents(spark, sf_dir), latin(spark, sf_dir), "doc_id")
 
 
 def pos_frequency(spark, sf_dir):
@@ -174,23 +174,20 @@ def pos_frequency(spark, sf_dir):
 
 
 def pos_rollup(spark, sf_dir):
-    rows = tokens(spark, sf_dir, ["pos"]).groupBy("doc_id", "pos").agg(F.count("*").alias("n")).join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id")
-    return rows.rollup("lang", "pos").agg(F.sum("n").cast("long").alias("n"))
+    return tokens(spark, sf_dir, ["pos"], ["lang"]).rollup("lang", "pos").agg(F.count("*").cast("long").alias("n"))
 
 
 def top_terms_by_lang(spark, sf_dir):
     """The ten most frequent words of each language; counts come before the window, which ranks distinct words."""
     from pyspark.sql import Window
 
-    rows = tokens(spark, sf_dir, ["normalized_form", "pos"]).filter(F.col("pos") == dic.NOUN).groupBy("doc_id", "normalized_form").agg(F.count("*").alias("n"))
-    per = rows.join(documents(spark, sf_dir).select("doc_id", "lang"), "doc_id").groupBy("lang", "normalized_form").agg(F.sum("n").cast("long").alias("n"))
+    per = tokens(spark, sf_dir, ["normalized_form", "pos"], ["lang"]).filter(F.col("pos") == dic.NOUN).groupBy("lang", "normalized_form").agg(F.count("*").cast("long").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "normalized_form"))
     return per.withColumn("rank", rank.cast("long")).filter("rank <= 10")
 
 
 def oov_rate_by_source(spark, sf_dir):
-    per = tokens(spark, sf_dir, ["is_oov"]).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if("is_oov").alias("oov"))
-    rows = per.join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.sum("n").cast("long").alias("n_tokens"), F.sum("oov").cast("long").alias("n_oov"))
+    rows = tokens(spark, sf_dir, ["is_oov"], ["source"]).groupBy("source").agg(F.count("*").cast("long").alias("n_tokens"), F.count_if("is_oov").cast("long").alias("n_oov"))
     return rows.withColumn("oov_rate", F.col("n_oov") / F.col("n_tokens"))
 
 
@@ -441,7 +438,7 @@ def oracle_sql() -> dict[str, str]:
         "prefix_matches": f"WITH {_tokens()} SELECT l.headword, count(*) AS n_matches FROM tokens t JOIN lex l ON starts_with(t.normalized_form, l.headword) GROUP BY l.headword",
         "oov_candidates": f"WITH {_runs()}, c AS (SELECT {cat} AS category, count(*) AS n FROM runs GROUP BY 1) SELECT category, pos, cost::INT AS cost, n AS n_candidates FROM c JOIN (VALUES {unk}) u(category, cost, pos) USING (category)",
         "tokens_mode_c": token_sql + 'SELECT doc_id, line_no, i, "begin", "end", surface, pos, normalized_form, is_oov FROM tokens',
-        "morpheme_tsv": token_sql + "SELECT doc_id, line_no, string_agg(surface || chr(9) || pos || chr(9) || normalized_form, chr(10) ORDER BY i) || chr(10) || 'EOS' AS text FROM tokens GROUP BY doc_id, line_no",
+        "morpheme_tsv": token_sql + "SELECT l.doc_id, l.line_no::INT AS line_no, coalesce(string_agg(surface || chr(9) || pos || chr(9) || normalized_form, chr(10) ORDER BY i) || chr(10), '') || 'EOS' AS text FROM lines l LEFT JOIN tokens t ON l.doc_id = t.doc_id AND l.line_no = t.line_no GROUP BY l.doc_id, l.line_no",
         "pos_frequency": token_sql + "SELECT pos, count(*) AS n FROM tokens GROUP BY pos",
         "pos_rollup": token_sql + "SELECT lang, pos, count(*) AS n FROM tokens JOIN documents USING (doc_id) GROUP BY ROLLUP (lang, pos)",
         "top_terms_by_lang": token_sql + f"SELECT lang, normalized_form, n, rank FROM (SELECT lang, normalized_form, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, normalized_form) AS rank FROM tokens JOIN documents USING (doc_id) WHERE pos = '{dic.NOUN}' GROUP BY lang, normalized_form) WHERE rank <= 10",
