@@ -8,7 +8,7 @@ import pytest
 from tsumugi.plans import registry
 
 SF = "/root/testdata/sf0.001"
-TABLES = ["documents", "benchmark", "labels", "pages", "conversations"]
+TABLES = ["documents", "benchmark", "labels", "pages", "conversations", "events"]
 
 
 @pytest.fixture(scope="module")

@@ -74,29 +74,44 @@ def parse_row(line: str) -> Word:
 class Dictionary:
     """System words (dictionary 0) and user dictionaries 1, 2, ...; word ids are (dictionary, number)."""
 
-    def __init__(self, rows: list[str], matrix: dict[tuple[int, int], int] | None = None):
+    def __init__(self, rows: list[str] | None, matrix: dict[tuple[int, int], int] | None = None):
         self.layers: list[list[Word]] = []
-        self.pos: dict[tuple[str, ...], int] = {}
+        #: all parts of speech by id: the system's as first seen, then those that each user dictionary adds of its own
+        self.pos_list: list[tuple[str, ...]] = []
+        self.pos_of: list[dict[tuple[str, ...], int]] = []  # by layer: ids of the parts of speech it brings
+        self.pos_first: list[int] = []
         self.matrix = dict(matrix or {})
         self.lookup: dict[str, list[tuple[int, int]]] = {}
         self.lengths: list[int] = []
-        self.add(rows)
+        if rows is not None:
+            self.add(rows)
 
     def add(self, rows: list[str], cost_of=None) -> None:
         """Add a layer. Costs of -32768 are computed by cost_of(dictionary so far, headword)."""
+        words = [parse_row(r) for r in rows if r.strip()]
+        d = len(self.layers)
+        self.add_words(words, cost_of, resolve=lambda r: self._resolve(d, r))
+
+    def add_words(self, words: list[Word], cost_of=None, pos: list[tuple[str, ...]] | None = None, resolve=None) -> None:
+        """Add a layer of words; `pos` are the parts of speech that it brings, by default those of its words that the
+        system lacks, as first seen. A user's own are numbered behind all before, also where another user has the same."""
         if len(self.layers) == 16:
             raise ValueError("16 dictionaries at most")
-        d, words = len(self.layers), [parse_row(r) for r in rows if r.strip()]
+        d = len(self.layers)
         if cost_of:
             for w in words:
                 if w.cost == -32768:
                     w.cost = cost_of(self, w.headword)
-        for w in words:
-            self.pos.setdefault(w.pos, len(self.pos))
+        system = self.pos_of[0] if d else {}
+        own = list(dict.fromkeys(w.pos for w in words if w.pos not in system)) if pos is None else list(pos)
+        self.pos_first.append(len(self.pos_list))
+        self.pos_of.append({p: len(self.pos_list) + k for k, p in enumerate(own)})
+        self.pos_list += own
         self.layers.append(words)
         for i, w in enumerate(words):
-            for name in ("a", "b", "structure"):
-                setattr(w, name, [self._resolve(d, r) for r in getattr(w, name)])
+            if resolve:
+                for name in ("a", "b", "structure"):
+                    setattr(w, name, [resolve(r) for r in getattr(w, name)])
             w.dictionary_form = words[w.form_id].surface if w.form_id >= 0 else w.surface
             if w.left != -1:  # others are found as units of a split only
                 self.lookup.setdefault(w.headword, []).append((d, i))
@@ -105,6 +120,10 @@ class Dictionary:
             ids.sort(key=order)
         self.lengths = sorted({len(h) for h in self.lookup})
 
+    def pos_id(self, pos: tuple[str, ...], layer: int = 0) -> int:
+        """Id of a part of speech as words of a layer have it: the system's, else the layer's own; -1 if unknown."""
+        return self.pos_of[0].get(pos, self.pos_of[layer].get(pos, -1))
+
     def _resolve(self, d: int, ref) -> tuple[int, int]:
         if isinstance(ref, int):
             found = (0, ref)

@@ -12,7 +12,7 @@ import re
 from typing import NamedTuple
 
 from ..functions import chars as ch
-from ..functions.normalize import MARKS, Normalizer, squeeze
+from ..functions.normalize import KEEP, MARKS, Normalizer, squeeze
 from ..functions.numeric import Parser
 from ..sources.definitions import PROPERTIES, UNKNOWN
 from .dictionary import Dictionary
@@ -42,10 +42,18 @@ class NoMorpheme(ValueError):
 
 
 class Tokenizer:
-    def __init__(self, dictionary: Dictionary, *, marks=MARKS, mark_to: str = "ー", normalize: bool = True, oov=("mecab", "simple"), simple=(("補助記号", "一般", "*", "*", "*", "*"), 5968, 5968, 3857), unknown=None, properties=None, table=None, rewrite=("numeric", "katakana"), normalize_numeric: bool = True, katakana_pos=("名詞", "普通名詞", "一般", "*", "*", "*"), min_length: int = 3, compat: str = "reference"):
+    def __init__(self, dictionary: Dictionary, *, marks=MARKS, mark_to: str = "ー", normalize: bool = True, oov=("mecab", "simple"), simple=(("補助記号", "一般", "*", "*", "*", "*"), 5968, 5968, 3857), unknown=None, properties=None, table=None, rewrite=("numeric", "katakana"), normalize_numeric: bool = True, katakana_pos=("名詞", "普通名詞", "一般", "*", "*", "*"), min_length: int = 3, compat: str = "reference", texts=(), replace=None, keep=None):
+        """Besides names, `oov` takes callables (text, place, mask, end of the run, whether words begin here) -> nodes and
+        `rewrite` callables (path, masks, run ends, edges) -> path; `texts` are callables (characters, places) -> the
+        same, after normalisation and marks. `replace` and `keep` are the normaliser's rules."""
         if not oov:
             raise ValueError("at least one provider of unknown words")
-        self.dic, self.norm = dictionary, Normalizer() if normalize else None
+        for what, names, known in (("provider of unknown words", oov, ("mecab", "simple")), ("path rewriter", rewrite, ("numeric", "katakana"))):
+            for n in names:
+                if n not in known and not callable(n):
+                    raise ValueError(f"{what}: {n} is unknown")
+        self.texts = tuple(texts)
+        self.dic, self.norm = dictionary, Normalizer(replace, KEEP if keep is None else keep) if normalize else None
         self.marks, self.mark_to = marks, mark_to
         self.cats = ch.Categories(table)
         self.oov, self.simple = oov, simple
@@ -55,7 +63,7 @@ class Tokenizer:
         self.katakana_pos, self.min_length = katakana_pos, min_length
         # where no word reaches across runs, nothing connects at a cost, and a line's characters have one category each,
         # runs are independent of each other and their paths can be remembered
-        self.by_run = not self.dic.matrix and all(len(set(self.cats.masks(h))) == 1 for h in self.dic.lookup)
+        self.by_run = not self.dic.matrix and not self.texts and all(map(lambda o: isinstance(o, str), oov)) and all(len(set(self.cats.masks(h))) == 1 for h in self.dic.lookup)
         if self.by_run:  # of unknown words over one span only the cheapest, the first of equal ones, can be on a path
             self.unk = [(*u[:4], [min(u[4], key=lambda r: r[2])]) for u in self.unk]
         self.cache: dict[str, list[Node]] = {}
@@ -67,6 +75,8 @@ class Tokenizer:
         chars, places = self.norm(line) if self.norm else (list(line), list(range(len(line) + 1)))
         if self.marks:
             chars, places = squeeze(chars, places, self.marks, self.mark_to)
+        for f in self.texts:
+            chars, places = f(chars, places)
         return "".join(chars), places
 
     # --- lattice
@@ -83,7 +93,9 @@ class Tokenizer:
                 out += [Node(at, e, le, r, c, None, p, s, s, s, "", True) for le, r, c, p in rows]
         return out
 
-    def _propose(self, kind: str, text: str, at: int, mask: int, run_end: int, has: bool) -> list[Node]:
+    def _propose(self, kind, text: str, at: int, mask: int, run_end: int, has: bool) -> list[Node]:
+        if callable(kind):
+            return kind(text, at, mask, run_end, has)
         if kind == "mecab":
             return self._unknown(text, at, mask, run_end, has)
         if has:
@@ -247,11 +259,23 @@ class Tokenizer:
                     at += len(r)
                 return out
         masks, ends, edges = self.lattice(text)
-        path = self.best(len(text), edges)
-        for r in self.rewrite:
-            path = self.join_numeric(path, masks, ends) if r == "numeric" else self.join_katakana(path, masks, ends, edges)
+        path = self.rewritten(self.best(len(text), edges), masks, ends, edges)
         return [(0, u) for n in path for u in self.split(n, mode)]
 
+    def rewritten(self, path: list[Node], masks, ends, edges: list[Node]) -> list[Node]:
+        for r in self.rewrite:
+            path = r(path, masks, ends, edges) if callable(r) else self.join_numeric(path, masks, ends) if r == "numeric" else self.join_katakana(path, masks, ends, edges)
+        return path
+
+    def dump(self, line: str) -> list[tuple[str, int, int, str, int]]:
+        """What analysis goes through, as (stage, begin, end, surface, cost): the normalised text, every edge of the
+        lattice, the path before rewriting and after."""
+        text, _ = self.text(line)
+        masks, ends, edges = self.lattice(text)
+        path = self.best(len(text), edges)
+        stages = (("lattice", edges), ("before rewriting", path), ("after rewriting", self.rewritten(path, masks, ends, edges)))
+        return [("text", 0, len(text), text, 0), *[(name, n.begin, n.end, n.surface, n.cost) for name, nodes in stages for n in nodes]]
+
     def nodes(self, text: str, mode: str = "C") -> list[Node]:
         """Morphemes of a normalised text, in its places."""
         return [n._replace(begin=n.begin + k, end=n.end + k) if k else n for k, n in self._placed(text, mode)]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chars, normalize, numeric
 from ..operators import dictionary as dic
-from ..operators.morphemes import morphemes, tsv
+from ..operators.morphemes import morphemes, spread, tsv
 from ..operators.tokenize import Tokenizer, auto_cost
 from ..sources.definitions import PROPERTIES, UNKNOWN
 
@@ -108,7 +108,7 @@ def _tokens() -> str:
 
 # --- queries over documents
 def line_split(spark, sf_dir):
-    d = documents(spark, sf_dir).select("doc_id", F.split("text", r"\r\n|\r|\n", -1).alias("a"))
+    d = spread(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.split("text", r"\r\n|\r|\n", -1).alias("a"))
     rows = d.select("doc_id", F.size("a").alias("n"), F.posexplode("a").alias("line_no", "line"))
     return rows.filter((F.col("line") != "") | (F.col("line_no") < F.col("n") - 1)).select("doc_id", "line_no", "line")
 
@@ -217,15 +217,18 @@ def tokens_by_mode(mode: str, spark, sf_dir):
     return morphemes(sentences(spark), partial(make_seed, rewrite=()), "sent_id", mode=mode, columns=["i", "begin", "end", "surface", "pos", "reading_form"])
 
 
-def _edges(dictionary=None) -> list[tuple]:
+def _edges(dictionary=None, texts=SENTENCES) -> list[tuple]:
+    return [e[:8] for e in _word_edges(dictionary, texts)]
+
+
+def _word_edges(dictionary=None, texts=SENTENCES) -> list[tuple]:
+    """Edges, then what their words are: part of speech, reading, normalised form, dictionary and word id (-1: unknown)."""
     t, out = Tokenizer(dictionary or seed(), rewrite=()), []
-    for k, s in enumerate(SENTENCES):
+    for k, s in enumerate(texts):
         text, _ = t.text(s)
-        if len(text) > 6:  # SQL lists every path
-            continue
         for q, e in enumerate(t.lattice(text)[2]):
-            out.append((k, q, e.begin, e.end, e.left, e.right, e.cost, e.surface))
-        out.append((k, 9999, len(text), len(text) + 1, 0, 0, 0, "EOS"))
+            out.append((k, q, e.begin, e.end, e.left, e.right, e.cost, e.surface, ",".join(e.pos), e.reading, e.normalized, *(e.wid or (-1, -1))))
+        out.append((k, 9999, len(text), len(text) + 1, 0, 0, 0, "EOS", "", "", "", -1, -1))
     return out
 
 
@@ -265,26 +268,50 @@ def best_path(spark, _=None, dictionary=None):
     return lattice_edges(spark, dictionary).groupBy("sent_id").applyInPandas(run, "sent_id long, total long, path string")
 
 
-def _best_sql(dictionary=None) -> str:
-    """All paths, then the cheapest: ids that no connection names are one id, so that only one edge of each span and
-    pair of ids is needed."""
+def _best_ctes(dictionary=None, texts=SENTENCES) -> str:
+    """e: all edges; f: every path to the end, as a list of edges. Ids that no connection names are one id, so that only
+    one edge of each span and pair of ids is followed."""
     d = dictionary or seed()
     named = {x for pair in d.matrix for x in pair}
     low: dict[tuple, tuple] = {}
-    for k, q, b, e, le, r, c, s in _edges(d):
+    rows = _word_edges(d, texts)
+    for k, q, b, e, le, r, c, *_ in rows:
         key = (k, b, e, le if le in named else 0, r if r in named else 0)
-        if key not in low or (c, q) < low[key][:2]:
-            low[key] = (c, q, s)
-    rows = [(k, q, b, e, le, r, c, s) for (k, b, e, le, r), (c, q, s) in low.items()]
-    return f"""WITH RECURSIVE e(sent_id, seq, b, e, l, r, cost, surface) AS (VALUES {_values(rows)}),
+        if key not in low or (c, q) < low[key]:
+            low[key] = (c, q)
+    few = [(k, q, b, e, le, r, c) for (k, b, e, le, r), (c, q) in low.items()]
+    return f"""w(sent_id, seq, b, e, l, r, cost, surface, pos, reading, normalized, dict_id, word_id) AS (VALUES {_values(rows)}),
+    e(sent_id, seq, b, e, l, r, cost) AS (VALUES {_values(few)}),
     m(r, l, c) AS (VALUES {_values([(a, b, c) for (a, b), c in d.matrix.items()])}),
     p(sent_id, place, r, total, path) AS (
-      SELECT DISTINCT sent_id, 0, 0, 0::BIGINT, '' FROM e
+      SELECT DISTINCT sent_id, 0, 0, 0::BIGINT, []::INT[] FROM e
       UNION ALL
-      SELECT e.sent_id, e.e, e.r, p.total + e.cost + coalesce(m.c, 0), CASE WHEN e.seq = 9999 THEN p.path WHEN p.path = '' THEN e.surface ELSE p.path || '/' || e.surface END
+      SELECT e.sent_id, e.e, e.r, p.total + e.cost + coalesce(m.c, 0), CASE WHEN e.seq = 9999 THEN p.path ELSE list_append(p.path, e.seq) END
       FROM p JOIN e ON e.sent_id = p.sent_id AND e.b = p.place LEFT JOIN m ON m.r = p.r AND m.l = e.l WHERE coalesce(m.c, 0) <> 32767),
-    f AS (SELECT p.sent_id, p.total, p.path FROM p JOIN (SELECT sent_id, max(e) AS n FROM e GROUP BY sent_id) z ON z.sent_id = p.sent_id AND z.n = p.place)
-    SELECT sent_id::BIGINT AS sent_id, min(total)::BIGINT AS total, arg_min(path, total) AS path FROM f GROUP BY sent_id"""
+    f AS (SELECT p.sent_id, min(p.total) AS total, arg_min(p.path, p.total) AS path FROM p JOIN (SELECT sent_id, max(e) AS n FROM e GROUP BY sent_id) z ON z.sent_id = p.sent_id AND z.n = p.place GROUP BY p.sent_id),
+    s AS (SELECT f.sent_id, f.total, k, w.* EXCLUDE (sent_id) FROM (SELECT sent_id, total, unnest(path) AS seq, generate_subscripts(path, 1) AS k FROM f) f JOIN w USING (sent_id, seq))"""
+
+
+def _best_sql(dictionary=None) -> str:
+    return f"WITH RECURSIVE {_best_ctes(dictionary)} SELECT sent_id::BIGINT AS sent_id, any_value(total)::BIGINT AS total, string_agg(surface, '/' ORDER BY k) AS path FROM s GROUP BY sent_id"
+
+
+def _mode_sql(mode: str) -> str:
+    """The morphemes of each sentence: the cheapest of all its paths, words with several units in this mode parted."""
+    units = {"A": "x.a", "B": "x.b", "C": "''"}[mode]
+    return f"""WITH RECURSIVE {_best_ctes()}, {_LEX_SQL.format(_values(_lexicon_rows()))},
+      g AS (SELECT s.*, string_split({units}, '/') AS refs FROM s LEFT JOIN lex x USING (dict_id, word_id)),
+      h AS (SELECT sent_id, k, 1 AS j, b, e, surface, pos, reading FROM g WHERE refs IS NULL OR len(refs) < 2
+        UNION ALL SELECT g.sent_id, g.k, g.j, g.b, NULL, x.headword, x.pos, x.reading FROM (SELECT *, unnest(refs) AS ref, generate_subscripts(refs, 1) AS j FROM g WHERE len(refs) > 1) g JOIN lex x ON g.ref = x.dict_id || ':' || x.word_id),
+      i AS (SELECT *, b + coalesce(sum(length(surface)) OVER (PARTITION BY sent_id, k ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM h)
+    SELECT sent_id::BIGINT AS sent_id, (row_number() OVER (PARTITION BY sent_id ORDER BY k, j) - 1)::INT AS i, first::INT AS "begin", coalesce(e, first + length(surface))::INT AS "end", surface, pos, reading AS reading_form FROM i"""
+
+
+def _auto_cost_sql() -> str:
+    words = [w.headword for w in seed().layers[1]]
+    raw = [(i, w, int(row.split(",")[3])) for i, (w, row) in enumerate(zip(words, dic.USER))]
+    return f"""WITH RECURSIVE {_best_ctes(dic.Dictionary(dic.SYSTEM, dic.MATRIX), words)}, c AS (SELECT sent_id, arg_max(cost, k) - arg_min(cost, k) - 20 * count(*) AS auto FROM s GROUP BY sent_id)
+    SELECT i::INT AS word_id, headword, (CASE WHEN said = -32768 THEN greatest(-32768, least(32767, auto)) ELSE said END)::INT AS cost FROM (VALUES {_values(raw)}) v(i, headword, said) JOIN c ON i = sent_id"""
 
 
 @cache
@@ -303,7 +330,7 @@ def span_min_edge(spark, sf_dir):
 
 def edge_connections(spark, sf_dir):
     e = lattice_edges(spark)
-    m = F.broadcast(spark.createDataFrame([(a, b, c) for (a, b), c in seed().matrix.items()], "r int, l int, c int"))
+    m = spark.createDataFrame([(a, b, c) for (a, b), c in seed().matrix.items()], "r int, l int, c int")  # broadcast by the planner's own threshold
     a, b = e.alias("a"), e.alias("b")
     pairs = a.join(b, (F.col("a.sent_id") == F.col("b.sent_id")) & (F.col("a.end") == F.col("b.begin")))
     pairs = pairs.join(m, (F.col("a.right_id") == F.col("r")) & (F.col("b.left_id") == F.col("l")), "left")
@@ -394,12 +421,11 @@ def udtf_tokens(spark, sf_dir):
 def stream_tokens(spark, sf_dir):
     """The documents as a stream, once through; what it wrote is read back."""
     import os
-    import tempfile
 
+    from ..sources.files import shared
     from ..streaming.tokens import stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tsumugi-stream-")
-    out = f"{base.rstrip('/')}/stream-{os.urandom(6).hex()}"
+    out = f"{shared(spark)}/stream-{os.urandom(6).hex()}"
     d = documents(spark, sf_dir)
     rows = stream(spark, f"{sf_dir}/documents.parquet" if os.path.isdir(f"{sf_dir}/documents.parquet") else f"{sf_dir}/document*.parquet", d.schema, latin(spark, sf_dir), "doc_id", columns=TOKENS)
     q = rows.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
@@ -414,10 +440,14 @@ def queries() -> dict:
         numeric_values, normalized_literals, full_tokens, udtf_tokens, stream_tokens,
     ]
     more = {f"tokens_mode_{m.lower()}": partial(tokens_by_mode, m) for m in "AB"}
-    return {f.__name__: f for f in own} | more | {"best_path_literals": best_path, "inhibited_path": lambda s, d: best_path(s, d, _inhibited())}
+    from . import dictionaries
+
+    return {f.__name__: f for f in own} | more | dictionaries.queries() | {"best_path_literals": best_path, "inhibited_path": lambda s, d: best_path(s, d, _inhibited())}
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import dictionaries
+
     lex = _LEX_SQL.format(_values(_lexicon_rows()))
     edges = f"e(sent_id, seq, \"begin\", \"end\", left_id, right_id, cost, surface) AS (VALUES {_values(_edges())})"
     token_sql = f"WITH {_tokens()} "
@@ -426,9 +456,6 @@ def oracle_sql() -> dict[str, str]:
     alpha = _JAVA["ALPHA"]
     n = normalize.Normalizer()
     literal = [(i, "".join(n(x)[0])) for i, x in enumerate(["ＡＢＣ", "ｶﾞｷﾞ", "㍿", "Ⅻ", "カ゛", "ﾊﾟﾋﾟ", "①②", "ｱｲｽ"])]
-    t = make_seed(rewrite=())
-    by_mode = {m: [(k, i, x[0], x[1], x[2], ",".join(x[3]), x[6]) for k, s in enumerate(SENTENCES) for i, x in enumerate(t.tokenize(s, m))] for m in "ABC"}
-    mode = lambda m: f'SELECT sent_id::BIGINT AS sent_id, i::INT AS i, b::INT AS "begin", e::INT AS "end", surface, pos, reading_form FROM (VALUES {_values(by_mode[m])}) v(sent_id, i, b, e, surface, pos, reading_form)'
     return {
         "line_split": f"WITH {_lines()} SELECT doc_id, line_no::INT AS line_no, line FROM lines",
         "char_category_histogram": f"WITH c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents WHERE text <> ''), k AS (SELECT ch, count(*) AS n FROM c GROUP BY ch), m AS (SELECT ch, n, coalesce(bit_or(bits), 1)::INT AS mask FROM k LEFT JOIN (VALUES {_values(chars.ranges())}) r(low, high, bits) ON unicode(ch) BETWEEN low AND high GROUP BY ch, n) SELECT mask, sum(n)::BIGINT AS n_chars FROM m GROUP BY mask",
@@ -452,13 +479,14 @@ def oracle_sql() -> dict[str, str]:
         "split_units": f"WITH {lex}, p AS (SELECT dict_id, word_id, headword, unnest(string_split(a, '/')) AS ref, generate_subscripts(string_split(a, '/'), 1) - 1 AS k FROM lex WHERE a <> '') SELECT p.dict_id::INT AS dict_id, p.word_id::INT AS word_id, p.headword, k::BIGINT AS k, u.headword AS unit, (coalesce(sum(length(u.headword)) OVER (PARTITION BY p.dict_id, p.word_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS \"begin\" FROM p JOIN lex u ON p.ref = u.dict_id || ':' || u.word_id",
         "numeric_values": f"SELECT numeral, CASE WHEN NOT regexp_full_match(numeral, '[0-9]+|[0-9]{{1,3}}(,[0-9]{{3}})+') OR regexp_full_match(numeral, '0+,.*') THEN NULL ELSE replace(numeral, ',', '') END AS value FROM (VALUES {_values([(x,) for x in NUMERALS])}) v(numeral)",
         "normalized_literals": f"SELECT id::INT AS id, normalized FROM (VALUES {_values(literal)}) v(id, normalized)",
-        "tokens_mode_a": mode("A"),
-        "tokens_mode_b": mode("B"),
-        "udtf_tokens": f'SELECT sent_id, "begin", "end", surface, pos FROM ({mode("C")})',
+        "tokens_mode_a": _mode_sql("A"),
+        "tokens_mode_b": _mode_sql("B"),
+        "udtf_tokens": f'SELECT sent_id, "begin", "end", surface, pos FROM ({_mode_sql("C")})',
+        "user_auto_cost": _auto_cost_sql(),
         "stream_tokens": token_sql + 'SELECT doc_id, line_no, i, "begin", "end", surface, pos, normalized_form, is_oov FROM tokens',
         "best_path_literals": _best_sql(),
         "inhibited_path": _best_sql(_inhibited()),
-    }
+    } | dictionaries.oracle_sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
