@@ -106,8 +106,12 @@ def put_file(uri: str, data: bytes) -> None:
     where.move(part, path)
 
 
-def get_file(uri: str) -> bytes:
+def get_file(uri: str, at: int | None = None, n: int = 0) -> bytes:
+    """The file's bytes, or n of them from a place."""
     where, path = filesystem(uri)
+    if at is not None:
+        with where.open_input_file(path) as src:
+            return src.read_at(n, at)
     with where.open_input_stream(path, compression=None) as src:
         return src.read()
 

@@ -9,21 +9,29 @@ before it) with priority (first symbol, arrival): a queue per symbol, whose tupl
 Common prefixes travel with the tuples. Two suffixes pushed one after the other into the same queue by sources with the
 same first symbol share one symbol more than their sources, which is a range minimum over the sources' run; from sources
 with different first symbols they share one symbol; between runs of L and S, and between rounds within a symbol, the
-shorter run of that symbol decides. Each symbol's run is handled in vectors.
+shorter run of that symbol decides. A symbol's long run is handled in vectors, a short one tuple by tuple, as the large
+alphabets of names have them: the cost stays linear in the number of tuples.
 
-The recursion ends when a string of names has at most BASE symbols: that fits memory and is sorted there by doubling.
+Queues, induced runs and the result (`suffix_runs` yields it symbol by symbol) go to disk beyond `memory_items` tuples,
+and substrings are named by an external merge sort. What stays in memory is the string in its narrowest type, a byte per
+suffix type, and, for the third or so of suffixes that are S*, place, name and order. The recursion ends at strings of
+BASE symbols or fewer.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 
 from .common import drop_file, get_file, put_file
 
 
-BASE = 1 << 19
+BASE = 1 << 12
+SHORT = 24
 
 
 def doubled(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,33 +62,77 @@ class Store:
         self.held: dict = {}
         self.items = 0
         self.files: dict = {}
+        self.users: dict[str, int] = {}  # keys of which a file still holds tuples
         self.spilled = 0
 
     def add(self, key, a: np.ndarray) -> None:
         self.held.setdefault(key, []).append(a)
         self.items += a.shape[-1]
         if self.uri and self.items > self.most:
+            keys, left = [], self.items
             for k in sorted(self.held, key=self.far, reverse=True):
-                if self.items <= self.most // 2:
+                if left <= self.most // 2:
                     break
-                self.spill(k)
+                keys.append(k)
+                left -= sum(len(a) if type(a) is list else a.shape[-1] for a in self.held[k])
+            self.spill(keys)
+
+    def put(self, key, pair: tuple[int, int]) -> None:
+        """One tuple, as `add` of one column."""
+        held = self.held.get(key)
+        if held is None:
+            self.held[key] = [[pair]]
+        elif type(held[-1]) is list:
+            held[-1].append(pair)
+        else:
+            held.append([pair])
+        self.items += 1
+        if self.uri and self.items > self.most:
+            self.add(key, np.empty((2, 0), np.int64))
+
+    def few(self, key) -> list[tuple[int, int]] | None:
+        """The key's tuples, taken out, if they are few and in memory; else None."""
+        if key in self.files:
+            return None
+        held = self.held.get(key)
+        if held is None:
+            return []
+        if sum(len(a) if type(a) is list else a.shape[-1] for a in held) > SHORT:
+            return None
+        del self.held[key]
+        out = []
+        for a in held:
+            out += a if type(a) is list else zip(*a.tolist())
+        self.items -= len(out)
+        return out
 
     far = staticmethod(lambda key: key)
 
-    def spill(self, key) -> None:
-        a = np.concatenate(self.held.pop(key), axis=-1)
-        file = f"{self.uri}/{uuid.uuid4().hex}.run"
-        put_file(file, a.astype("<i8").tobytes())
-        self.files.setdefault(key, []).append((file, a.shape))
-        self.items -= a.shape[-1]
+    @staticmethod
+    def _arrays(parts: list) -> list[np.ndarray]:
+        return [np.array(a, np.int64).T if type(a) is list else a for a in parts]
+
+    def spill(self, keys: list) -> None:
+        """These keys' tuples into one file."""
+        file, at, parts = f"{self.uri}/{uuid.uuid4().hex}.run", 0, []
+        for k in keys:
+            a = np.concatenate(self._arrays(self.held.pop(k)), axis=-1)
+            parts.append(a.astype("<i8").tobytes())
+            self.files.setdefault(k, []).append((file, at, a.shape))
+            at += len(parts[-1])
+            self.items -= a.shape[-1]
+        put_file(file, b"".join(parts))
+        self.users[file] = len(keys)
         self.spilled += 1
 
     def take(self, key) -> np.ndarray | None:
         parts = []
-        for file, shape in self.files.pop(key, []):
-            parts.append(np.frombuffer(get_file(file), "<i8").reshape(shape).copy())
-            drop_file(file)
-        for a in self.held.pop(key, []):
+        for file, at, shape in self.files.pop(key, []):
+            parts.append(np.frombuffer(get_file(file, at, 8 * shape[0] * shape[1]), "<i8").reshape(shape).copy())
+            self.users[file] -= 1
+            if not self.users[file]:
+                drop_file(file)
+        for a in self._arrays(self.held.pop(key, [])):
             parts.append(a)
             self.items -= a.shape[-1]
         return None if not parts else parts[0] if len(parts) == 1 else np.concatenate(parts, axis=-1)
@@ -145,48 +197,146 @@ def _own(t: np.ndarray, c: int, first: np.ndarray | None, kind: np.ndarray, want
     return rounds[0] if len(rounds) == 1 else np.concatenate(rounds, axis=1)
 
 
-def suffix_array(t: np.ndarray, uri: str | None = None, memory_items: int = 4_000_000, depth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def _push_few(store: Store, t, c: int, run: list[tuple[int, int]], kind, want: bool) -> None:
+    """As `_pushes`, for a short run."""
+    last: dict[int, int] = {}
+    for j, (pos, _) in enumerate(run):
+        p = pos - 1
+        if pos and bool(kind[p]) is want and (x := t[p]) != c:
+            i = last.get(x)
+            store.put(x, (p, 1 if i is None else 1 + min(run[k][1] for k in range(i + 1, j + 1))))
+            last[x] = j
+
+
+def _own_few(t, c: int, first: list[tuple[int, int]], kind, want: bool) -> list[tuple[int, int]]:
+    """As `_own`, for a short run."""
+    out, cur, k = list(first), first, 1
+    while True:
+        nxt, before = [], -1
+        for j, (pos, _) in enumerate(cur):
+            if pos and t[pos - 1] == c and bool(kind[pos - 1]) is want:
+                nxt.append((pos - 1, k if before < 0 else 1 + min(cur[i][1] for i in range(before + 1, j + 1))))
+                before = j
+        if not nxt:
+            return out
+        out += nxt
+        cur, k = nxt, k + 1
+
+
+def _run_length(t: np.ndarray, at: int) -> int:
+    """How often the symbol at a place stands from there on without a break."""
+    c, end, step = t[at], at + 1, 16
+    while end < len(t):
+        other = np.flatnonzero(t[end : end + step] != c)
+        if len(other):
+            return end + int(other[0]) - at
+        end, step = min(len(t), end + step), step * 4
+    return end - at
+
+
+def _types(t: np.ndarray) -> np.ndarray:
+    """True for S: the next different symbol is larger; the end is smaller than all. In blocks, from the right."""
+    n, step = len(t), 1 << 17
+    out = np.empty(n, bool)
+    later = False  # of the suffix behind the block; the last one is L
+    for hi in range(n, 0, -step):
+        lo = max(0, hi - step)
+        here, nxt = t[lo:hi], t[lo + 1 : hi + 1]
+        if hi == n:
+            nxt = np.append(nxt, t.dtype.type(0))
+        differs = np.flatnonzero(here != nxt)
+        at = np.searchsorted(differs, np.arange(hi - lo))
+        up = np.append(here[differs] < nxt[differs], later)
+        out[lo:hi] = up[at]
+        later = bool(out[lo])
+    return out
+
+
+def suffix_array(t: np.ndarray, uri: str | None = None, memory_items: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
     """(suffix array, common prefix of each suffix with the one before it) of symbols >= 1; 0 is the end's own symbol."""
-    t = np.asarray(t, np.int64)
+    parts = list(suffix_runs(t, uri, memory_items))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return tuple(np.concatenate([p[k] for p in parts]) for k in (0, 1))
+
+
+def suffix_runs(t: np.ndarray, uri: str | None = None, memory_items: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """`suffix_array` in parts, a first symbol each."""
+    t = np.asarray(t)
     n = len(t)
     if n < 2:
-        return np.arange(n), np.zeros(n, np.int64)
-    # types from the right: S if the next different symbol is larger; the end is smaller than all
-    ext = np.append(t, 0)
-    change = np.flatnonzero(ext[:-1] != ext[1:])
-    nxt = change[np.searchsorted(change, np.arange(n))]
-    is_s = ext[nxt + 1] > t
-    run = nxt - np.arange(n) + 1
+        if n:
+            yield np.zeros(1, np.int64), np.zeros(1, np.int64)
+        return
+    t = t.astype(np.min_scalar_type(int(t.max()) + 1), copy=False)
+    is_s = _types(t)
     star = np.flatnonzero(is_s[1:] & ~is_s[:-1]) + 1
     if len(star):
-        sa_star, lcp_star = _stars(t, ext, star, uri, memory_items, depth)
+        sa_star, lcp_star = _stars(t, star, uri, memory_items)
     else:
         sa_star, lcp_star = np.empty(0, np.int64), np.empty(0, np.int64)
-    heads = t[sa_star]
-    cut = np.flatnonzero(np.concatenate([[True], heads[1:] != heads[:-1]])) if len(heads) else np.empty(0, np.int64)
-    stars = {c: (a, b) for c, a, b in zip(heads[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(heads)])}
+    heads = t[sa_star]  # ascending
+    b = 0
+    del star
 
-    symbols = np.unique(t).tolist()
+    # single places are read through these: no array scalar is made for each
+    tv, sv = memoryview(t), memoryview(is_s.view(np.uint8))
+    symbols = np.unique(t)
     queue, done = Store(uri, memory_items), Store(uri, memory_items)
     done.far = lambda key: -key
     queue.add(int(t[n - 1]), np.array([[n - 1], [0]]))
-    for c in symbols:
+    for c in map(int, symbols):
+        a = b
+        if a < len(heads) and heads[a] == c:
+            b = a + SHORT + 1
+            b = int(np.searchsorted(heads, heads[a], side="right")) if b < len(heads) and heads[b] == c else a + int(np.count_nonzero(heads[a:b] == c))
+        few = queue.few(c) if b - a <= SHORT else None
+        if few is not None:
+            own = _own_few(tv, c, few, sv, False) if few else few
+            if own:
+                own[0] = (own[0][0], 0)
+                for pair in own:
+                    done.put(c, pair)
+            if b > a:
+                tail = list(zip(sa_star[a:b].tolist(), lcp_star[a:b].tolist()))
+                tail[0] = (tail[0][0], min(_run_length(t, own[-1][0]), _run_length(t, tail[0][0])) if own else 0)
+                own = own + tail
+            if own:
+                _push_few(queue, tv, c, own, sv, False)
+            continue
         own = _own(t, c, queue.take(c), is_s, False)
         pos, lcp = own
         if len(pos):
             own[1][0] = 0
             done.add(c, own)
-        if c in stars:
-            a, b = stars[c]
+        if b > a:
             l = lcp_star[a:b].copy()
-            l[0] = min(run[pos[-1]], run[sa_star[a]]) if len(pos) else 0
+            l[0] = min(_run_length(t, int(pos[-1])), _run_length(t, int(sa_star[a]))) if len(pos) else 0
             pos, lcp = np.concatenate([pos, sa_star[a:b]]), np.concatenate([lcp, l])
         if len(pos):
             before = np.maximum(pos - 1, 0)
             _pushes(queue, t, pos, lcp, (pos > 0) & ~is_s[before] & (t[before] != c))
-    queue, left = Store(uri, memory_items), []
+    del sa_star, lcp_star, heads
+    queue, left = Store(uri, memory_items), Store(uri, memory_items)
     queue.far = lambda key: -key
-    for c in reversed(symbols):
+    for c in map(int, symbols[::-1]):
+        few = queue.few(c)
+        large = done.few(c) if few is not None else None
+        if few is not None and large is not None:
+            down = _own_few(tv, c, few, sv, True) if few else few
+            if down:
+                down[0] = (down[0][0], 0)
+            if large:
+                back = [(p, large[i + 1][1] if i + 1 < len(large) else 0) for i, (p, _) in enumerate(large)][::-1]
+                back[0] = (back[0][0], min(_run_length(t, down[-1][0]), _run_length(t, back[0][0])) if down else 0)
+                down = down + back
+            if down:
+                _push_few(queue, tv, c, down, sv, True)
+                for i in range(len(down) - 1, -1, -1):
+                    left.put(c, (down[i][0], down[i + 1][1] if i + 1 < len(down) else 0))
+            continue
+        if few:
+            queue.add(c, np.array(few, np.int64).T)
         down = _own(t, c, queue.take(c), is_s, True)
         large = done.take(c)
         pos, lcp = down
@@ -196,45 +346,110 @@ def suffix_array(t: np.ndarray, uri: str | None = None, memory_items: int = 4_00
             p = large[0][::-1]
             l = np.empty(len(p), np.int64)
             l[1:] = large[1][:0:-1]
-            l[0] = min(run[pos[-1]], run[p[0]]) if len(pos) else 0
+            l[0] = min(_run_length(t, int(pos[-1])), _run_length(t, int(p[0]))) if len(pos) else 0
             pos, lcp = np.concatenate([pos, p]), np.concatenate([lcp, l])
         if len(pos):
             before = np.maximum(pos - 1, 0)
             _pushes(queue, t, pos, lcp, (pos > 0) & is_s[before] & (t[before] != c))
-            left.append((pos[::-1], np.concatenate([[0], lcp[:0:-1]])))
-    left.reverse()
-    return np.concatenate([p for p, _ in left]), np.concatenate([l for _, l in left])
+            left.add(c, np.stack([pos[::-1], np.concatenate([[0], lcp[:0:-1]])]))
+    del queue, done, is_s, sv
+    held: list[np.ndarray] = []
+    size = 0
+    for c in map(int, symbols):
+        held.append(left.take(c))
+        size += held[-1].shape[1]
+        if size > 1 << 16:
+            yield tuple(np.concatenate(held, axis=1))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(held, axis=1))
+
+
+def _names(t: np.ndarray, star: np.ndarray, uri: str | None, memory_items: int) -> np.ndarray:
+    """Ranks from 1 of the substrings from each S* place to the next one's first symbol, by an external merge sort: sorted
+    runs of bounded size in files of some thousand substrings each, then one merge."""
+    n, top = len(t), b"\xff\xff\xff\xff"
+    ends = np.append(star[1:], n)
+    r = np.empty(len(star), np.int64)
+    most = max(1, memory_items // 4) if uri else n + 1
+    part = max(256, memory_items // 256)  # of each of 64 runs a part is held in a merge
+    runs: list[list[str]] = []
+
+    def some(lo: int, hi: int) -> list[tuple[bytes, int]]:
+        first, stop = int(star[lo]), int(ends[hi - 1])
+        raw = np.concatenate([t[first : stop + 1], np.zeros(int(stop == n), t.dtype)]).astype(">u4").tobytes()
+        # what goes on beyond where another ends is the smaller one
+        return sorted((raw[4 * (a - first) : 4 * (b - first) + 4] + top, i) for i, a, b in zip(range(lo, hi), star[lo:hi].tolist(), ends[lo:hi].tolist()))
+
+    def parted(rows: list[tuple[bytes, int]]) -> list[str]:
+        names = []
+        for at in range(0, len(rows), part):
+            names.append(f"{uri}/{uuid.uuid4().hex}.sub")
+            put_file(names[-1], pickle.dumps(rows[at : at + part]))
+        return names
+
+    def read(names: list[str]):
+        for name in names:
+            yield from pickle.loads(get_file(name))
+            drop_file(name)
+
+    lo = 0
+    while lo < len(star):
+        hi = max(lo + 1, int(np.searchsorted(ends, star[lo] + most, side="right")))
+        if lo == 0 and hi >= len(star):
+            merged = some(0, len(star))
+            break
+        runs.append(parted(some(lo, hi)))
+        lo = hi
+    else:
+        while len(runs) > 64:  # bounds what a merge holds at once
+            runs = [parted_stream(heapq.merge(*map(read, runs[i : i + 64])), parted) for i in range(0, len(runs), 64)]
+        merged = heapq.merge(*map(read, runs))
+    rank, before = 0, None
+    for sub, i in merged:
+        if sub != before:
+            rank, before = rank + 1, sub
+        r[i] = rank
+    return r
+
+
+def parted_stream(rows, parted) -> list[str]:
+    """Files of a stream of rows, by `parted` a few thousand at a time."""
+    from itertools import islice
+
+    names: list[str] = []
+    while some := list(islice(rows, 4096)):
+        names += parted(some)
+    return names
 
 
-def _stars(t: np.ndarray, ext: np.ndarray, star: np.ndarray, uri: str | None, memory_items: int, depth: int):
+def _stars(t: np.ndarray, star: np.ndarray, uri: str | None, memory_items: int):
     """Sorted S* suffixes with common prefixes, by names and recursion."""
     n = len(t)
-    raw = np.append(ext, 0xFFFFFFFF).astype(">u4").tobytes()
-    top, ends = b"\xff\xff\xff\xff", np.append(star[1:], n).tolist()
-    # a substring ends with the next star's first symbol; what goes on beyond where another ends is the smaller one
-    subs = [raw[4 * a : 4 * b + 4] + top for a, b in zip(star.tolist(), ends)]
-    names = {s: i + 1 for i, s in enumerate(sorted(set(subs)))}
-    r = np.array([names[s] for s in subs], np.int64)
-    if len(names) == len(r):
+    r = _names(t, star, uri, memory_items)
+    if int(r.max()) == len(r):
         order = np.argsort(r, kind="stable")
         same = np.zeros(len(r), np.int64)
     elif len(r) <= BASE:
         order, same = doubled(r)
     else:
-        del subs
-        order, same = suffix_array(r, uri, memory_items, depth + 1)
+        order, same = suffix_array(r, uri, memory_items)
+    del r
     starts = np.append(star, n)
     sa = star[order]
     lcp = np.zeros(len(order), np.int64)
-    a, b, k = order[:-1], order[1:], same[1:]
-    lcp[1:] = starts[np.minimum(a + k, len(star))] - star[a]
-    # past the equal names, symbols are compared until they differ
-    x, y = sa[:-1] + lcp[1:], sa[1:] + lcp[1:]
-    live = np.arange(len(x))
-    while len(live):
-        i, j = x[live], y[live]
-        live = live[(i < n) & (j < n) & (ext[np.minimum(i, n)] == ext[np.minimum(j, n)])]
-        x[live] += 1
-        y[live] += 1
-        lcp[1 + live] += 1
+    step = 1 << 18
+    for lo in range(1, len(order), step):
+        hi = min(len(order), lo + step)
+        a, k = order[lo - 1 : hi - 1], same[lo:hi]
+        lcp[lo:hi] = starts[np.minimum(a + k, len(star))] - star[a]
+        # past the equal names, symbols are compared until they differ
+        x, y = sa[lo - 1 : hi - 1] + lcp[lo:hi], sa[lo:hi] + lcp[lo:hi]
+        live = np.arange(hi - lo)
+        while len(live):
+            i, j = x[live], y[live]
+            live = live[(i < n) & (j < n) & (t[np.minimum(i, n - 1)] == t[np.minimum(j, n - 1)])]
+            x[live] += 1
+            y[live] += 1
+            lcp[lo + live] += 1
     return sa, lcp

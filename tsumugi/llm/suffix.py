@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_tables, free, new_folder, small_batches, table, written
-from .esais import suffix_array
+from .esais import suffix_runs
 
 LENGTH = 400
 #: for passages of over 50 words, or 50 tokens, at 4 bytes a word with the space behind it
@@ -150,11 +150,16 @@ def _spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 def repeated(contents: list[tuple[bytes, int]], length: int = LENGTH, uri: str | None = None) -> list[np.ndarray]:
     """For each (bytes, times it occurs) the starts of windows that occur in another content, elsewhere in it, or, where
     it occurs more than once, all: by suffix array over all contents, 0 between them."""
-    t = np.concatenate([np.concatenate([np.frombuffer(c, np.uint8).astype(np.int64) + 2, [1]]) for c, _ in contents])
-    sa, lcp = suffix_array(t, uri)
-    most = np.maximum(lcp, np.append(lcp[1:], 0))
-    hit = np.zeros(len(t), bool)
-    hit[sa[most >= length]] = True
+    end = np.ones(1, np.uint16)
+    t = np.concatenate([x for c, _ in contents for x in (np.frombuffer(c, np.uint8).astype(np.uint16) + np.uint16(2), end)])
+    hit, last = np.zeros(len(t), bool), None
+    for sa, lcp in suffix_runs(t, uri):  # both neighbours of a pair that shares enough
+        near = np.flatnonzero(lcp >= length)
+        hit[sa[near]] = True
+        hit[sa[near[near > 0] - 1]] = True
+        if len(near) and near[0] == 0 and last is not None:
+            hit[last] = True
+        last = int(sa[-1])
     out, at = [], 0
     for c, times in contents:
         k = max(0, len(c) - length + 1)
