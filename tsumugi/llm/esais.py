@@ -14,8 +14,9 @@ alphabets of names have them: the cost stays linear in the number of tuples.
 
 Queues, induced runs and the result (`suffix_runs` yields it symbol by symbol) go to disk beyond `memory_items` tuples,
 and substrings are named by an external merge sort. What stays in memory is the string in its narrowest type, a byte per
-suffix type, and, for the third or so of suffixes that are S*, place, name and order. The recursion ends at strings of
-BASE symbols or fewer.
+suffix type, and, for the third or so of suffixes that are S*, place, name and order. The recursion ends, as external induced
+sorting does, at a string of names that fits the memory given (an eighth of `memory_items` symbols, or BASE), which is
+sorted there by doubling.
 """
 
 from __future__ import annotations
@@ -430,7 +431,7 @@ def _stars(t: np.ndarray, star: np.ndarray, uri: str | None, memory_items: int):
     if int(r.max()) == len(r):
         order = np.argsort(r, kind="stable")
         same = np.zeros(len(r), np.int64)
-    elif len(r) <= BASE:
+    elif len(r) <= max(BASE, memory_items // 8):
         order, same = doubled(r)
     else:
         order, same = suffix_array(r, uri, memory_items)
