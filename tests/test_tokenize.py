@@ -1,10 +1,13 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 
 from tsumugi.operators import dictionary as d
+from tsumugi.operators.morphemes import _BUILT, BYTES, MAKERS, TEXTS, Runs, _built, parts
 from tsumugi.operators.tokenize import NoMorpheme, Tokenizer, auto_cost
+from tsumugi.plans.registry import Latin
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +119,51 @@ def test_run_cache_changes_nothing():
     assert fast.by_run
     for s in ["foo bar  baz-1,000!", "Fo o", "é\tfoo", "日本 foo", "a1b2--c"]:
         assert fast.tokenize(s) == slow.tokenize(s), s
+
+
+def test_unknown_letters_need_no_lattice():
+    rows = [d._row(w, 5139, 3000 + 100 * len(w), d.NOUN, w) for w in ("foo", "foobar", "f", "e" * 90)]
+    for how in ({}, {"oov": ("simple",)}, {"oov": ("simple", "mecab")}, {"properties": {"ALPHA": (0, 1, 0)}}, {"properties": {"ALPHA": (1, 0, 3)}}):
+        t = Tokenizer(d.Dictionary(rows), marks=(), rewrite=(), **how)
+        runs, made = Runs(t), []
+
+        def lattice(text, own=Tokenizer.lattice.__get__(t)):
+            made.append(text)
+            return own(text)
+
+        t.lattice = lattice
+        for s in ["foo", "FOO", "foob", "Foobar", "foobarx", "x", "xy", "xyz", "wxyz", "Éß", "e" * 90, "e" * 91]:
+            made.clear()
+            try:
+                got = runs.analysed(s)
+            except NoMorpheme:
+                got = None
+            if not how:
+                assert bool(made) == (s.lower() in ("foo", "foobar", "e" * 90))
+            try:
+                want = [(b, e, x, ",".join(p), *rest) for b, e, x, p, *rest in t.tokenize(s)]
+            except NoMorpheme:
+                want = None
+            assert got == want, (s, how)
+
+
+def test_a_worker_holds_texts_by_bytes():
+    texts = ["x" * 10, None, "é" * BYTES, "", *["y" * (BYTES // 3)] * 4, *["z"] * 1000]
+    b = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    got = list(parts(b, 1))
+    assert [x for p in got for x in p.column(1).to_pylist()] == texts
+    sizes = [[len((x or "").encode()) for x in p.column(1).to_pylist()] for p in got]
+    assert all(len(x) <= TEXTS and (sum(x) <= BYTES or len(x) == 1) for x in sizes) and max(map(sum, sizes)) == 2 * BYTES
+    assert list(parts(b.slice(0, 0), 1)) == []
+    cut = b.slice(3, 8)
+    assert [x for p in parts(cut, 1) for x in p.column(1).to_pylist()] == texts[3:11]
+
+
+def test_a_worker_keeps_wanted_columns_and_few_tokenizers():
+    made = [Latin((w,)) for w in ("a", "b", "c", "d", "e", "f")]
+    for m in made:
+        t, runs = _built(m, ["pos"])
+        assert _built(m, ["pos"]) == (t, runs)
+        runs.gather([runs.numbers("abc a 12")], ["pos"], {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()})
+        assert list(runs.columns) == ["pos"] and _built(m, ["is_oov"])[1].number.keys() == {"\n", "\r", "\r\n"}
+    assert len(_BUILT) <= MAKERS and made[-1] in _BUILT

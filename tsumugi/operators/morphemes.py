@@ -1,13 +1,15 @@
 """Morphemes of a text column: one narrow map over Arrow batches, no shuffle; a tokenizer is built once per worker.
 
 Where runs of one category are independent of each other (`Tokenizer.by_run`), a text of plain characters is cut into
-runs by one pattern, each distinct run is analysed once per worker, and columns are gathered from the runs' finished
-morphemes by index. All other texts go through the lattice line by line.
+runs by one pattern, a distinct run is analysed once as long as it is remembered, and columns are gathered from the
+runs' finished morphemes by index. All other texts go through the lattice line by line. What a worker holds is bounded:
+so many runs, and texts of so many bytes at a time.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Sequence
 from itertools import chain
 
@@ -15,14 +17,16 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .tokenize import NEWLINE, NoMorpheme, Tokenizer
+from .tokenize import LETTERS, NEWLINE, NoMorpheme, Tokenizer
 
 _BUILT: dict = {}
 FIELDS = [
     ("line_no", "int"), ("i", "int"), ("begin", "int"), ("end", "int"), ("surface", "string"), ("pos", "string"), ("normalized_form", "string"),
     ("dictionary_form", "string"), ("reading_form", "string"), ("is_oov", "boolean"), ("dictionary_id", "int"), ("word_id", "int"), ("error", "string"),
 ]
-TEXTS = 256  # bounds what is held for one output batch
+TEXTS, BYTES = 256, 1 << 19  # bound what is held for one output batch; a longer text is one by itself
+RUNS = 100_000  # distinct ones that a worker remembers
+MAKERS = 4  # whose tokenizers a worker keeps
 
 
 def lines_of(text: str) -> list[str]:
@@ -32,32 +36,45 @@ def lines_of(text: str) -> list[str]:
 
 
 class Runs:
-    """The morphemes of runs, once per distinct run. Number 0 is a line's end."""
+    """The morphemes of runs, once per distinct run among `most` at a time. Number 0 is a line's end. A run of letters that
+    isn't a word has one morpheme, the unknown word that is proposed for its category and length; no lattice is made."""
 
-    #: of a morpheme within its run, in the order of FIELDS from `begin` on
-    COLUMNS = [n for n, _ in FIELDS[2:12]]
-
-    def __init__(self, t: Tokenizer, most: int = 300_000):
-        self.t, self.most = t, most
+    def __init__(self, t: Tokenizer, most: int = RUNS):
+        self.t, self.most, self.wanted = t, most, ()
         by_mask: dict[int, list[str]] = {}
         odd = set("".join([*(t.norm.replace if t.norm else ()), *t.marks]))
+        self.to: dict[int, str] = {}  # what plain letters are normalised to
+        self.letters: dict[str, int] = {}  # their masks
+        self.proposed: dict[tuple[int, int], str | None] = {}
+        self.longest = 2 + max([0, *(u[3] for u in t.unk)])  # from this length on, proposals are alike
         for c in map(chr, range(0x250)):
             text, places = t.text(c)
             m = t.cats.mask(c)
-            if c not in "\r\n" and len(text) == 1 and places == [0, 1] and t.cats.mask(text) == m and m & (m - 1) == 0 and c not in odd:
+            if c not in "\r\n" and len(text) == 1 and places == [0, 1] and t.cats.mask(text) == m and m & (m - 1) == 0 and not odd & {c, text}:
                 by_mask.setdefault(m, []).append(re.escape(c))
+                if m & LETTERS:
+                    self.to[ord(c)], self.letters[c] = text, m
         self.plain = re.compile("[" + "".join(chain.from_iterable(by_mask.values())) + "\r\n]*").fullmatch
         self.cut = re.compile("\r\n|[\r\n]|" + "|".join("[" + "".join(cs) + "]+" for cs in by_mask.values())).findall
         self.clear()
 
     def clear(self) -> None:
         self.number = {"\n": 0, "\r": 0, "\r\n": 0}
-        self.ends, self.length = [0, 0], [0]  # of runs: morphemes up to each, characters
+        self.ends, self.length = array("q", [0, 0]), array("q", [0])  # of runs: morphemes up to each, characters
         self.rows: list[tuple] = []  # not yet in the columns
-        self.columns: list = []
-        self.lines: dict[str, str] = {}
+        self.columns: dict = {}  # those of self.wanted
 
     def analysed(self, run: str) -> list[tuple]:
+        mask = self.letters.get(run[:1])
+        if mask:
+            text, n = run.translate(self.to), len(run)
+            if text not in self.t.dic.lookup:
+                key = (mask, min(n, self.longest))
+                if key not in self.proposed:
+                    self.proposed[key] = self.t.proposed(*key)
+                pos = self.proposed[key]
+                if pos is not None:
+                    return [(0, n, run, pos, text, text, "", True, -1, -1)]
         text, _ = self.t.text(run)
         return [
             (n.begin, n.end, run[n.begin : n.end], ",".join(n.pos), n.normalized, n.form, n.reading, n.oov, -1 if n.wid is None else n.wid[0], -1 if n.wid is None else n.wid[1])
@@ -82,12 +99,13 @@ class Runs:
         """(which text each morpheme is of, the wanted columns) of texts given as numbers of runs."""
         import pyarrow as pa
 
+        stored = [(k, n, kinds[t]) for k, (n, t) in enumerate(FIELDS[2:12]) if n in self.wanted]
+        if not self.columns:
+            self.columns = {n: pa.array([], t) for _, n, t in stored}
         if self.rows:
-            new = [pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*self.rows), FIELDS[2:12])]
-            self.columns = [pa.concat_arrays([a, b]) for a, b in zip(self.columns, new)] if self.columns else new
+            for k, n, t in stored:
+                self.columns[n] = pa.concat_arrays([self.columns[n], pa.array([r[k] for r in self.rows], t)])
             self.rows = []
-        if not self.columns:
-            self.columns = [pa.array([], kinds[k]) for _, k in FIELDS[2:12]]
         sizes = np.array(list(map(len, lists)), np.int64)
         flat = np.fromiter(chain.from_iterable(lists), np.int64, int(sizes.sum()))
         ends = np.array(self.ends, np.int64)
@@ -112,8 +130,8 @@ class Runs:
         if "begin" in wanted or "end" in wanted:
             length = np.array(self.length, np.int64)[flat]
             at = since(np.cumsum(length) - length)[run]
-            for k, name in enumerate(("begin", "end")):
-                own[name] = at + self.columns[k].to_numpy()[node]
+            for name in {"begin", "end"} & {*wanted}:
+                own[name] = at + self.columns[name].to_numpy()[node]
         take = pa.array(node)
         for name, kind in [f for f in FIELDS if f[0] in wanted]:
             if name in own:
@@ -121,15 +139,35 @@ class Runs:
             elif name == "error":
                 out.append(pa.nulls(len(run), pa.string()))
             else:
-                out.append(self.columns[self.COLUMNS.index(name)].take(take))
+                out.append(self.columns[name].take(take))
         return text[run], out
 
 
-def _built(make) -> tuple[Tokenizer, Runs | None]:
+def _built(make, wanted: Sequence[str] = ()) -> tuple[Tokenizer, Runs | None]:
+    """A maker's tokenizer and its runs, which keep the wanted columns only."""
     if make not in _BUILT:
+        while len(_BUILT) >= MAKERS:
+            del _BUILT[next(iter(_BUILT))]
         t = make()
         _BUILT[make] = (t, Runs(t) if t.by_run and not t.rewrite else None)
-    return _BUILT[make]
+    t, runs = _BUILT[make]
+    if runs and runs.wanted != tuple(wanted):
+        runs.wanted = tuple(wanted)
+        runs.clear()
+    return t, runs
+
+
+def parts(batch, column: int):
+    """A batch in slices of TEXTS rows at most, and of BYTES of texts unless one alone has more."""
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), np.int64)
+    ends, lo = np.cumsum(sizes), 0
+    while lo < len(sizes):
+        fit = int(np.searchsorted(ends, ends[lo] - sizes[lo] + BYTES, "right"))
+        hi = min(lo + TEXTS, max(fit, lo + 1))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
 
 
 def morphemes(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "text", mode: str = "C", strict: bool = False, columns: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
@@ -167,11 +205,10 @@ def morphemes(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str
         return rows, counts
 
     def run(batches):
-        t, runs = _built(make)
         names_wanted = [n for n, _ in wanted]
+        t, runs = _built(make, names_wanted)
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS):
-                part = b.slice(lo, TEXTS)
+            for part in parts(b, b.num_columns - 1):
                 texts = part.column(part.num_columns - 1).to_pylist()
                 plain, lists, rest = [], [], []
                 for k, x in enumerate(texts):
@@ -231,8 +268,7 @@ def tsv(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "tex
             return got
 
         for b in batches:
-            for lo in range(0, b.num_rows, TEXTS):
-                part = b.slice(lo, TEXTS)
+            for part in parts(b, 1):
                 of, no, out = [], [], []
                 for k, x in enumerate(part.column(1).to_pylist()):
                     plain = runs and mode == "C" and x and runs.plain(x)
@@ -246,7 +282,7 @@ def tsv(df: DataFrame, make: Callable[[], Tokenizer], key: str, text: str = "tex
                         of.append(k)
                         no.append(i)
                         out.append("\n".join([*said, "EOS"]))
-                if len(known) > 300_000:
+                if len(known) > RUNS:
                     known.clear()
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(no, pa.int32()), pa.array(out, pa.string())], names=[key, "line_no", "text"])
 
