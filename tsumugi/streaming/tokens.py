@@ -8,7 +8,11 @@ from ..operators.morphemes import morphemes
 
 
 def stream(spark: SparkSession, path: str, schema, make, key: str, **how) -> DataFrame:
-    return morphemes(spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path), make, key, **how)
+    """A batch's rows are dealt to four tasks a core: its files are few and of any size, and no core is to wait for the
+    last one. Texts are shuffled, which costs little beside the morphemes that come of them."""
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
+    few = files.select(*dict.fromkeys([key, *how.get("keep", ()), how.get("text", "text")]))
+    return morphemes(few.repartition(4 * spark.sparkContext.defaultParallelism), make, key, **how)
 
 
 def register_udtf(spark: SparkSession, name: str, make) -> None:
